@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pressmill.llm.language import RUNNING_WORDS, fit_model, identify
 from pressmill.llm.sitelines import repeated_lines
 from pressmill.sources.sites import load_sites
 from pressmill.sources.tables import table
@@ -16,8 +17,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(table(spark, sf_dir, "documents"), sites).select("doc_id", "line_no")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose label is missing or wrong (line_no -1), and lines of running text in another language."""
+    documents = table(spark, sf_dir, "documents")
+    found = identify(documents.where(F.char_length("text") >= 40), fit_model(documents))
+    wrong = (F.col("line_no") == -1) & ~F.col("label_ok") & F.col("lang").isNotNull()
+    foreign = (F.col("line_no") >= 0) & (F.col("n_words") >= RUNNING_WORDS)
+    return found.where(wrong | foreign).select("doc_id", "line_no", "lang")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found}
+    return {"p4_found": p4_found, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,12 +23,17 @@ from pyspark.sql import DataFrame, functions as F
 from pressmill.llm.lettering import slices
 
 LANGS = ("en", "vi", "es", "pt", "fr", "de", "ja")
-WORD = re.compile(r"[^\W\d_]+")
+JA = LANGS.index("ja")
+WIDE = re.compile("[぀-ヿ一-鿿]")
+#: A run of letters that touches no digit, so that digests and encoded data give few words.
+WORD = re.compile(r"\b[^\W\d_]+\b|[぀-ヿ一-鿿]+")
 #: Most labelled documents the model is fitted on.
 FIT_DOCS = 6_000
 MAX_GRAM = 4
 #: Words and n-grams seen less often than this are not kept.
 MIN_COUNT = 3
+#: Added to every relative frequency: what a language has not shown counts alike in all of them.
+FLOOR = 1e-6
 #: Words whose scores a worker remembers before its memory is emptied.
 REMEMBERED = 150_000
 
@@ -78,7 +83,7 @@ class LanguageModel:
             words[lang].update(WORD.findall(line.lower()))
         rows: list[list[float]] = []
 
-        def table(counts: dict[str, Counter], weight: float) -> dict[str, int]:
+        def table(counts: dict[str, Counter]) -> dict[str, int]:
             every = Counter()
             for c in counts.values():
                 every.update(c)
@@ -87,27 +92,22 @@ class LanguageModel:
             index = {}
             for w in kept:
                 index[w] = len(rows)
-                rows.append([weight * math.log((counts[lang][w] + 0.05) / (total[lang] + 0.05 * len(kept) + 1)) for lang in LANGS])
+                rows.append([math.log(counts[lang][w] / max(total[lang], 1) + FLOOR) for lang in LANGS])
             return index
 
-        known = table(words, 1.0)
+        known = table(words)
         grams = []
         for n in range(1, MAX_GRAM + 1):
             by = {lang: Counter() for lang in LANGS}
             for lang, c in words.items():
                 for w, k in c.items():
-                    if len(w) <= 40:
-                        for g in _grams(w, n):
-                            by[lang][g] += k
-                    else:
-                        for g in _grams(w[:400], n):
-                            by[lang][g] += k
-            grams.append(table(by, 1.0))
-        return LanguageModel(known, grams, np.array(rows, np.float32).reshape(-1, len(LANGS)), np.full(len(LANGS), -12.0, np.float32))
+                    for g in _grams(w, n):
+                        by[lang][g] += k
+            grams.append(table(by))
+        return LanguageModel(known, grams, np.array(rows, np.float32).reshape(-1, len(LANGS)), np.full(len(LANGS), math.log(FLOOR), np.float32))
 
     def _unseen(self, word: str) -> np.ndarray:
         """Mean score of the longest known n-grams: from each place the longest that is known."""
-        word = word[:60]
         padded = f" {word} "
         total, n = np.zeros(len(LANGS), np.float32), 0
         for i in range(len(padded) - 1):
@@ -141,11 +141,14 @@ class LanguageModel:
         if self._rows is not None and self._fill + REMEMBERED // 2 > len(self._rows):
             self._memory, self._fill = dict(self.words), len(self.table)
 
-    def score(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores (lines x languages) and numbers of words."""
+    def score(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores (lines x languages), numbers of words, and how many of them the model knows.
+
+        Of a line that comes out as Japanese, two wide letters count as a known word.
+        """
         self.room()
         flat: list[int] = []
-        sizes = np.zeros(len(lines), np.int64)
+        sizes, known = np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64)
         for i, line in enumerate(lines):
             if words := WORD.findall(line.lower()):
                 flat += self.ids(words)
@@ -154,8 +157,12 @@ class LanguageModel:
         if flat:
             some = np.flatnonzero(sizes)
             starts = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
-            out[some] = np.add.reduceat(self._rows[np.array(flat)], starts)
-        return out, sizes
+            rows = np.array(flat)
+            out[some] = np.add.reduceat(self._rows[rows], starts)
+            known[some] = np.add.reduceat((rows < len(self.words)).astype(np.int64), starts)
+            for i in np.flatnonzero((out.argmax(1) == JA) & (sizes > 0)):
+                known[i] = max(known[i], len(WIDE.findall(lines[i])) // 2)
+        return out, sizes, known
 
 
 def sample_labelled(documents: DataFrame, bound: int = FIT_DOCS) -> list[tuple[str, str]]:
@@ -179,7 +186,7 @@ def fit_model(documents: DataFrame, bound: int = FIT_DOCS) -> LanguageModel:
     again: list[tuple[str, str]] = []
     for a in range(0, len(pairs), 2000):
         part = [line for line, _ in pairs[a : a + 2000]]
-        scores, words = first.score(part)
+        scores, words, _ = first.score(part)
         best = scores.argmax(1)
         two = np.sort(scores, 1)
         sure = (words >= 4) & (two[:, -1] - two[:, -2] > 4)
@@ -189,19 +196,13 @@ def fit_model(documents: DataFrame, bound: int = FIT_DOCS) -> LanguageModel:
 
 #: Least lead in log probability of a line's language over the document's, and the least lead per word.
 LINE_LEAD, LINE_LEAD_PER_WORD = 8.0, 0.5
+#: Least share of a line's words that the model knows.
+LINE_KNOWN = 0.3
 RUNNING_WORDS = 5
 
 SCHEMA = "doc_id long, line_no int, lang string, confidence double, label_ok boolean, n_words int"
 
 
-def running_words(line: str, words: int) -> int:
-    """Words of a line; where a script sets no blanks, two of its letters count as a word."""
-    if not line.isascii() and words:
-        wide = sum(1 for c in line if "぀" <= c <= "ヿ" or "一" <= c <= "鿿")
-        return words + wide // 2
-    return words
-
-
 def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """One row per document (line_no -1) and one per line in another language than the document.
 
@@ -223,10 +224,13 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
 _ARROW = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("label_ok", pa.bool_()), ("n_words", pa.int32())])
 
 
-def document_languages(scores: np.ndarray, letters: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Index of the language with most letters, lines voting, for documents that begin at line ``first``; -1 without letters."""
-    votes = np.zeros((len(letters), len(LANGS)), np.float64)
-    votes[np.arange(len(letters)), scores.argmax(1)] = letters
+def document_languages(scores: np.ndarray, words: np.ndarray, known: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Index of the language of most known words, lines voting, for documents that begin at line ``first``; -1 without words.
+
+    Strings that are no words (digests, encoded data) have no known words and so no vote, unless there is nothing else.
+    """
+    votes = np.zeros((len(words), len(LANGS)), np.float64)
+    votes[np.arange(len(words)), scores.argmax(1)] = known + 1e-3 * words
     total = np.add.reduceat(votes, first) if len(first) else votes
     whole = np.add.reduceat(scores.astype(np.float64), first) if len(first) else scores
     main = (total + 1e-9 * (whole - whole.max(1, keepdims=True))).argmax(1)
@@ -236,16 +240,15 @@ def document_languages(scores: np.ndarray, letters: np.ndarray, first: np.ndarra
 def _rows(model: LanguageModel, ids: list, labels: list, texts: list[str]) -> list[dict]:
     split = [t.split("\n") for t in texts]
     lines = [line for part in split for line in part]
-    scores, words = model.score(lines)
-    size = np.array([len(x) for x in lines], np.float64) * (words > 0)
+    scores, words, known = model.score(lines)
     first = np.concatenate(([0], np.cumsum([len(x) for x in split])[:-1])).astype(np.int64)
-    main = document_languages(scores, size, first)
+    main = document_languages(scores, words, known, first)
     out = []
     n_lines = np.array([len(x) for x in split])
     owner = np.repeat(np.arange(len(split)), n_lines)
     best = scores.argmax(1)
     lead = scores.max(1) - scores[np.arange(len(lines)), np.maximum(main[owner], 0)]
-    odd = np.flatnonzero((main[owner] >= 0) & (best != main[owner]) & (lead >= LINE_LEAD) & (lead >= LINE_LEAD_PER_WORD * words))
+    odd = np.flatnonzero((main[owner] >= 0) & (best != main[owner]) & (lead >= LINE_LEAD) & (lead >= LINE_LEAD_PER_WORD * words) & (known >= LINE_KNOWN * words))
     total = np.add.reduceat(scores, first) if len(first) else scores
     doc_words = np.add.reduceat(words, first) if len(first) else words
     for i, doc_id in enumerate(ids):
@@ -255,7 +258,7 @@ def _rows(model: LanguageModel, ids: list, labels: list, texts: list[str]) -> li
         lang = LANGS[main[i]]
         out.append({"doc_id": doc_id, "line_no": -1, "lang": lang, "confidence": _confidence(total[i], main[i], doc_words[i]), "label_ok": label_language(labels[i]) == lang, "n_words": int(doc_words[i])})
     for j in odd:
-        n = running_words(lines[j], int(words[j]))
+        n = int(max(words[j], known[j]))
         out.append({"doc_id": ids[owner[j]], "line_no": int(j - first[owner[j]]), "lang": LANGS[best[j]], "confidence": _confidence(scores[j], best[j], words[j]), "label_ok": None, "n_words": n})
     return out
 

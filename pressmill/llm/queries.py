@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressmill.llm.language import RUNNING_WORDS, fit_model, identify
+from pressmill.llm.readability import reading_levels
 from pressmill.llm.sitelines import repeated_lines
 from pressmill.sources.sites import load_sites
 from pressmill.sources.tables import table
@@ -26,8 +27,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(wrong | foreign).select("doc_id", "line_no", "lang")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    levels = reading_levels(documents, table(spark, sf_dir, "level_labels"), fit_model(documents))
+    return levels.select("doc_id", "reading_level")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:

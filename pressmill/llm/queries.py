@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressmill.llm.language import RUNNING_WORDS, fit_model, identify
+from pressmill.llm.leakage import leaked
 from pressmill.llm.readability import reading_levels
 from pressmill.llm.sitelines import repeated_lines
 from pressmill.sources.sites import load_sites
@@ -27,6 +28,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(wrong | foreign).select("doc_id", "line_no", "lang")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     levels = reading_levels(documents, table(spark, sf_dir, "level_labels"), fit_model(documents))
@@ -34,7 +39,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p10_found": p10_found}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pressmill.llm.history import duplicates
 from pressmill.llm.language import RUNNING_WORDS, fit_model, identify
 from pressmill.llm.leakage import leaked
 from pressmill.llm.readability import reading_levels
-from pressmill.llm.sitelines import repeated_lines
+from pressmill.llm.sitelines import find_repeated, repeated_lines
 from pressmill.sources.sites import load_sites
 from pressmill.sources.tables import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document that repeats an earlier one, paired with the first of its story; the smaller id comes first."""
+    sites = load_sites(table(spark, sf_dir, "parser_configs"))
+    documents = table(spark, sf_dir, "documents")
+    found = duplicates(documents, sites, find_repeated(documents, sites).collect_keys())
+    return found.select(F.least("doc_id", "head").alias("doc_id_a"), F.greatest("doc_id", "head").alias("doc_id_b"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = load_sites(table(spark, sf_dir, "parser_configs"))
     return repeated_lines(table(spark, sf_dir, "documents"), sites).select("doc_id", "line_no")
@@ -39,7 +48,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,9 +12,11 @@ so there are at most (chunks per document / min_share) of them, whatever the siz
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from pressmill.llm.lettering import letters_of, slices
@@ -24,6 +26,9 @@ from pressmill.sources.sites import SiteRegistry
 #: Rows up to which a table of repeated chunks or lines is broadcast; above it the join shuffles.
 BROADCAST_ROWS = 400_000
 
+#: Most repeated lines held in memory by operators that drop them.
+MAX_KEYS = 3_000_000
+
 LINES_SCHEMA = "doc_id long, site string, line_no int, line_hash long, line_first boolean, chunks array<long>, fresh array<long>"
 
 
@@ -80,8 +85,38 @@ def _frequent(counts: DataFrame, totals: DataFrame, min_docs: int, min_share: fl
     return kept, kept.count() <= BROADCAST_ROWS
 
 
-def repeated_lines(documents: DataFrame, sites: SiteRegistry, min_docs: int = 4, min_share: float = 0.02) -> DataFrame:
-    """Lines repeated over a site's documents: (doc_id, line_no, site, line_hash, docs).
+@dataclass
+class RepeatedLines:
+    """lines: every candidate place (doc_id, site, line_no, line_hash); hashes: the repeated lines (site, line_hash, docs)."""
+
+    candidates: DataFrame
+    hashes: DataFrame
+    small: bool
+
+    def places(self) -> DataFrame:
+        return self.candidates.join(F.broadcast(self.hashes) if self.small else self.hashes, ["site", "line_hash"])
+
+    def collect_keys(self) -> np.ndarray:
+        """Sorted keys of the repeated lines, see ``line_keys``.
+
+        A site has at most (lines per document / min_share) repeated lines however many documents it has, so their
+        number follows the registry; above ``MAX_KEYS`` they are refused.
+        """
+        rows = self.hashes.select("site", "line_hash").limit(MAX_KEYS + 1).toPandas()
+        if len(rows) > MAX_KEYS:
+            raise ValueError(f"more than {MAX_KEYS} repeated lines")
+        hashes = rows["line_hash"].to_numpy(np.int64).astype(np.uint64)
+        return np.unique(line_keys(rows["site"].tolist(), hashes))
+
+
+def line_keys(sites: list[str | None], hashes: np.ndarray) -> np.ndarray:
+    """One number for a site and a line hash."""
+    seed = {s: xxhash.xxh64_intdigest(s or "") for s in set(sites)}
+    return hashes ^ np.array([seed[s] for s in sites], np.uint64)
+
+
+def find_repeated(documents: DataFrame, sites: SiteRegistry, min_docs: int = 4, min_share: float = 0.02) -> RepeatedLines:
+    """Lines repeated over a site's documents.
 
     documents needs doc_id, source_url and text; other columns are ignored. A null or empty text has no lines with
     letters but counts as a document; a document of no known site is left out; of a line that stands twice in one
@@ -100,4 +135,9 @@ def repeated_lines(documents: DataFrame, sites: SiteRegistry, min_docs: int = 4,
     candidates = lines.select("doc_id", "site", "line_no", "line_hash", "line_first")
     whole = candidates.groupBy("site", "line_hash").agg(F.count_if("line_first").alias("docs"))
     kept, small = _frequent(whole, totals, min_docs, min_share, "wholelines")
-    return candidates.drop("line_first").join(F.broadcast(kept) if small else kept, ["site", "line_hash"])
+    return RepeatedLines(candidates.drop("line_first"), kept, small)
+
+
+def repeated_lines(documents: DataFrame, sites: SiteRegistry, min_docs: int = 4, min_share: float = 0.02) -> DataFrame:
+    """(doc_id, line_no, site, line_hash, docs) of the places of ``find_repeated``."""
+    return find_repeated(documents, sites, min_docs, min_share).places()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pressmill.llm.history import duplicates
 from pressmill.llm.language import RUNNING_WORDS, fit_model, identify
 from pressmill.llm.leakage import leaked
+from pressmill.llm.mainbody import document_body, page_body
 from pressmill.llm.readability import reading_levels
 from pressmill.llm.sitelines import find_repeated, repeated_lines
 from pressmill.sources.sites import load_sites
@@ -37,6 +38,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(wrong | foreign).select("doc_id", "line_no", "lang")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of pages and documents that are not the article's own."""
+    sites = load_sites(table(spark, sf_dir, "parser_configs"))
+    documents = table(spark, sf_dir, "documents")
+    keys = find_repeated(documents, sites).collect_keys()
+    blocks = page_body(table(spark, sf_dir, "raw_pages"), sites, keys, emit_own=False).unionByName(document_body(documents, sites, keys, emit_own=False))
+    return blocks.select("item_kind", "item_id", "block_md5").distinct()
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -48,7 +58,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:

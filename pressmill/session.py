@@ -32,11 +32,25 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pressmill-{tag}-{uuid.uuid4().hex}"
+    keep(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def keep(path: str) -> None:
+    """Note a folder of the shared one for removal when the process ends."""
     if not _WRITTEN:
         atexit.register(_forget)
     _WRITTEN.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Remove the files of a table that ``materialize`` wrote. What still reads it must have run before."""
+    jvm = df.sparkSession._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/pressmill-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def _forget() -> None:

@@ -128,13 +128,16 @@ def own_blocks(blocks: list[Block], repeated: list[bool], names: tuple[str, ...]
     if begin is None:
         return [False] * n
     first = next((i for i in range(begin + 1, n) if weight[i] and is_paragraph(texts[i])), n)
-    # a head over related stories ends the article
+    # a head over related stories ends the article; a repeated short line before a paragraph is a subhead
     stop = n
     for i in range(first + 1, n):
         short = len(texts[i].split()) <= HEAD_WORDS and len(texts[i]) <= 60 and not _END.search(texts[i]) and not _CUT.search(texts[i])
-        if short and not any(c in ",:：" or c.isdigit() for c in texts[i]) and not any(x in folded[i] for x in names) and (repeated[i] or _HEAD.match(texts[i])):
+        if not short or any(c in ",:：" or c.isdigit() for c in texts[i]) or any(x in folded[i] for x in names):
+            continue
+        if _HEAD.match(texts[i]) or (repeated[i] and not (i + 1 < n and weight[i + 1] and is_paragraph(texts[i + 1]))):
             stop = i
             break
+        weight[i] = _width(texts[i])
     # dive: the last weighty paragraph before
     end = max([begin, *(i for i in range(first, stop) if weight[i] >= DIVE and is_paragraph(texts[i]))])
     marked = sum(bool(_END.search(texts[i])) for i in range(first, end + 1) if weight[i])

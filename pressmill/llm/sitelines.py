@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from pressmill.llm.lettering import letters_of, slices
-from pressmill.session import materialize
+from pressmill.session import materialize, release
 from pressmill.sources.sites import SiteRegistry
 
 #: Rows up to which a table of repeated chunks or lines is broadcast; above it the join shuffles.
@@ -29,7 +29,7 @@ BROADCAST_ROWS = 400_000
 #: Most repeated lines held in memory by operators that drop them.
 MAX_KEYS = 3_000_000
 
-LINES_SCHEMA = "doc_id long, site string, line_no int, line_hash long, line_first boolean, chunks array<long>, fresh array<long>"
+LINES_SCHEMA = "doc_id long, site string, line_no int, line_hash long, line_first boolean, head long, tail long, fresh array<long>"
 
 
 def _first_of_doc(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -54,7 +54,6 @@ def line_table(documents: DataFrame, sites: SiteRegistry) -> DataFrame:
             for a, b in slices([len(t) for t in texts]):
                 x = letters_of(texts[a:b])
                 site = [sites.of_url(u) for u in urls[a:b]]
-                n = len(x.line_no)
                 chunk_doc = np.repeat(x.line_doc, np.diff(x.chunk_start))
                 fresh = _first_of_doc(chunk_doc, x.chunk_hash)
                 fresh_start = np.concatenate(([0], np.cumsum(fresh)))[x.chunk_start]
@@ -67,12 +66,12 @@ def line_table(documents: DataFrame, sites: SiteRegistry) -> DataFrame:
                         pa.array(np.concatenate((x.line_no, pad - 1)).astype(np.int32)),
                         pa.array(np.concatenate((x.line_hash.astype(np.int64), pad.astype(np.int64)))),
                         pa.array(np.concatenate((_first_of_doc(x.line_doc, x.line_hash), pad.astype(bool)))),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate((x.chunk_start, pad + x.chunk_start[-1])).astype(np.int32)), pa.array(x.chunk_hash.astype(np.int64))),
+                        pa.array(np.concatenate((x.chunk_hash[x.chunk_start[:-1]].astype(np.int64), pad))),
+                        pa.array(np.concatenate((x.chunk_hash[x.chunk_start[1:] - 1].astype(np.int64), pad))),
                         pa.ListArray.from_arrays(pa.array(np.concatenate((fresh_start, pad + fresh_start[-1])).astype(np.int32)), pa.array(x.chunk_hash[fresh].astype(np.int64))),
                     ],
-                    ["doc_id", "site", "line_no", "line_hash", "line_first", "chunks", "fresh"],
+                    ["doc_id", "site", "line_no", "line_hash", "line_first", "head", "tail", "fresh"],
                 )
-                assert n <= len(rows)
 
     return documents.select("doc_id", "source_url", "text").mapInArrow(run, LINES_SCHEMA)
 
@@ -87,17 +86,18 @@ def _frequent(counts: DataFrame, totals: DataFrame, min_docs: int, min_share: fl
 
 @dataclass
 class RepeatedLines:
-    """lines: every candidate place (doc_id, site, line_no, line_hash); hashes: the repeated lines (site, line_hash, docs)."""
+    """candidates: places (doc_id, site, line_no, line_hash); hashes: the repeated lines (site, line_hash, docs)."""
 
     candidates: DataFrame
     hashes: DataFrame
     small: bool
+    written: DataFrame
 
     def places(self) -> DataFrame:
         return self.candidates.join(F.broadcast(self.hashes) if self.small else self.hashes, ["site", "line_hash"])
 
     def collect_keys(self) -> np.ndarray:
-        """Sorted keys of the repeated lines, see ``line_keys``.
+        """Sorted keys of the repeated lines, see ``line_keys``. The written table of lines is removed.
 
         A site has at most (lines per document / min_share) repeated lines however many documents it has, so their
         number follows the registry; above ``MAX_KEYS`` they are refused.
@@ -105,6 +105,7 @@ class RepeatedLines:
         rows = self.hashes.select("site", "line_hash").limit(MAX_KEYS + 1).toPandas()
         if len(rows) > MAX_KEYS:
             raise ValueError(f"more than {MAX_KEYS} repeated lines")
+        release(self.written)
         hashes = rows["line_hash"].to_numpy(np.int64).astype(np.uint64)
         return np.unique(line_keys(rows["site"].tolist(), hashes))
 
@@ -122,7 +123,7 @@ def find_repeated(documents: DataFrame, sites: SiteRegistry, min_docs: int = 4,
     letters but counts as a document; a document of no known site is left out; of a line that stands twice in one
     document both places come out, counted as one document. An empty table gives no rows.
     """
-    lines = materialize(line_table(documents, sites).where("site is not null"), "lines")
+    lines = written = materialize(line_table(documents, sites).where("site is not null"), "lines")
     # one row per site: bounded by the registry, which is checked when it is loaded
     totals = lines.where("line_no = -1").groupBy("site").agg(F.count(F.lit(1)).alias("total"))
     chunks = lines.select("site", F.explode("fresh").alias("chunk")).groupBy("site", "chunk").agg(F.count(F.lit(1)).alias("docs"))
@@ -130,12 +131,12 @@ def find_repeated(documents: DataFrame, sites: SiteRegistry, min_docs: int = 4,
     frequent = frequent.drop("docs")
     hint = F.broadcast if small else lambda x: x
     lines = lines.where("line_no >= 0").drop("fresh")
-    for end, name in ((1, "head"), (-1, "tail")):
-        lines = lines.withColumn(name, F.element_at("chunks", end)).join(hint(frequent.withColumnRenamed("chunk", name)), ["site", name], "left_semi")
+    for name in ("head", "tail"):
+        lines = lines.join(hint(frequent.withColumnRenamed("chunk", name)), ["site", name], "left_semi")
     candidates = lines.select("doc_id", "site", "line_no", "line_hash", "line_first")
     whole = candidates.groupBy("site", "line_hash").agg(F.count_if("line_first").alias("docs"))
     kept, small = _frequent(whole, totals, min_docs, min_share, "wholelines")
-    return RepeatedLines(candidates.drop("line_first"), kept, small)
+    return RepeatedLines(candidates.drop("line_first"), kept, small, written)
 
 
 def repeated_lines(documents: DataFrame, sites: SiteRegistry, min_docs: int = 4, min_share: float = 0.02) -> DataFrame:

@@ -4,11 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from pressmill.operators.timestamps import normalize_timestamps
+from pressmill.sources.sites import load_sites
+from pressmill.sources.tables import table
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemap, Open Graph and JSON-LD dates as instants in UTC."""
+    items, metas = table(spark, sf_dir, "sitemap_items"), table(spark, sf_dir, "article_meta")
+    parts = [(items, "lastmod", "item_id", F.coalesce("loc", "sitemap_url")), (metas, "published_time", "meta_id", F.col("url")), (metas, "date_published", "meta_id", F.col("url"))]
+    values = None
+    for df, name, key, url in parts:
+        part = df.select(F.lit(name).alias("field_name"), F.col(key).alias("rec_id"), F.col(name).alias("value"), "domain", url.alias("url"))
+        values = part if values is None else values.unionByName(part)
+    return normalize_timestamps(values, load_sites(table(spark, sf_dir, "parser_configs")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p1_found": p1_found}
 
 
 def oracle_sql() -> dict[str, str]:

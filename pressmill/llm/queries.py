@@ -10,8 +10,11 @@ from pressmill.llm.history import duplicates
 from pressmill.llm.language import RUNNING_WORDS, fit_model, identify
 from pressmill.llm.leakage import leaked
 from pressmill.llm.mainbody import document_body, page_body
+from pressmill.llm.packing import document_parts, fill_containers
 from pressmill.llm.readability import reading_levels
 from pressmill.llm.sitelines import find_repeated, repeated_lines
+from pressmill.llm.splitting import items_of, split_items
+from pressmill.llm.tokens import count_tokens, estimate_tokens, fit, load_counter, token_budget
 from pressmill.sources.sites import load_sites
 from pressmill.sources.tables import table
 
@@ -57,9 +60,44 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.select("doc_id", "reading_level")
 
 
+def p2_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated tokens by source, language and site."""
+    documents = table(spark, sf_dir, "documents")
+    return token_budget(estimate_tokens(documents, fit(documents, load_counter(table(spark, sf_dir, "vocab_pieces")))))
+
+
+def p2_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact tokens of every document."""
+    return count_tokens(table(spark, sf_dir, "documents"), load_counter(table(spark, sf_dir, "vocab_pieces")), "doc_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that come out in more than one piece."""
+    items = items_of(table(spark, sf_dir, "article_chunks"), table(spark, sf_dir, "documents"))
+    return split_items(items, only_long=True).where("piece_no = 1").select("item_kind", "item_id")
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_items(items_of(table(spark, sf_dir, "article_chunks"), table(spark, sf_dir, "documents")))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, or their parts, with the container each goes to."""
+    return fill_containers(document_parts(table(spark, sf_dir, "documents"), load_counter(table(spark, sf_dir, "vocab_pieces"))))
+
+
+_QUERIES = [p2_token_budget, p2_document_tokens, p3_found, p4_found, p5_found, p6_found, p6_pieces, p7_found, p8_containers, p9_found, p10_found]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p6_found": """
+            select 'chunk' as item_kind, chunk_id as item_id from article_chunks where length(content) > 2000
+            union all
+            select 'document', doc_id from documents where length(text) > 2000
+        """,
+    }

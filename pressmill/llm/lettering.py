@@ -116,8 +116,8 @@ def letters_of(texts: list[str], chunks: bool = True) -> Letters:
         doc = np.searchsorted(first_line, line, "right") - 1
         if chunks:
             roll = np.zeros(len(codes), np.uint64)
-            for k in range(WINDOW):
-                roll[k:] += mixed[: len(mixed) - k or None] << np.uint64(k)
+            for k in range(min(WINDOW, len(mixed))):
+                roll[k:] += mixed[: len(mixed) - k] << np.uint64(k)
             cut = ((roll >> np.uint64(WINDOW + 8)) & np.uint64((1 << CUT_BITS) - 1) == 0) & (at >= WINDOW)
             begins = fresh.copy()
             begins[1:] |= cut[:-1]

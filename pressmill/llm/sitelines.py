@@ -73,7 +73,7 @@ def line_table(documents: DataFrame, sites: SiteRegistry) -> DataFrame:
                     ["doc_id", "site", "line_no", "line_hash", "line_first", "head", "tail", "fresh"],
                 )
 
-    return documents.select("doc_id", "source_url", "text").mapInArrow(run, LINES_SCHEMA)
+    return documents.where("doc_id is not null").select("doc_id", "source_url", "text").mapInArrow(run, LINES_SCHEMA)
 
 
 def _frequent(counts: DataFrame, totals: DataFrame, min_docs: int, min_share: float, tag: str) -> tuple[DataFrame, bool]:
@@ -119,7 +119,7 @@ def line_keys(sites: list[str | None], hashes: np.ndarray) -> np.ndarray:
 def find_repeated(documents: DataFrame, sites: SiteRegistry, min_docs: int = 4, min_share: float = 0.02) -> RepeatedLines:
     """Lines repeated over a site's documents.
 
-    documents needs doc_id, source_url and text; other columns are ignored. A null or empty text has no lines with
+    documents needs doc_id, source_url and text; other columns are ignored, and so are rows without a doc_id. A null or empty text has no lines with
     letters but counts as a document; a document of no known site is left out; of a line that stands twice in one
     document both places come out, counted as one document. An empty table gives no rows.
     """

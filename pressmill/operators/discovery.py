@@ -62,14 +62,14 @@ def sitemap_items(data: bytes | None) -> list[dict]:
         if _local(entry.tag) not in ("url", "sitemap"):
             continue
         item = {"loc": None, "lastmod": None, "news_title": None, "news_publication_date": None}
-        for e in entry.iter():
+        for e in entry:
             name, text = _local(e.tag), (e.text or "").strip()
-            if name in ("loc", "lastmod") and item[name] is None and text and "image" not in e.tag and "video" not in e.tag:
-                item[name] = text
-            elif name == "title" and "news" in e.tag and text:
-                item["news_title"] = text
-            elif name == "publication_date" and text:
-                item["news_publication_date"] = text
+            if name in ("loc", "lastmod") and text:
+                item[name] = item[name] or text
+            elif name == "news":
+                for part in e:
+                    if (key := "news_" + _local(part.tag)) in item and (part.text or "").strip():
+                        item[key] = part.text.strip()
         if item["loc"]:
             out.append(item | {"lastmod": item["lastmod"] or item["news_publication_date"], "is_news": bool(item["news_title"] and item["news_publication_date"])})
     return out

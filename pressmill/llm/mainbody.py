@@ -27,6 +27,8 @@ from pressmill.sources.sites import SiteRegistry
 WINDOW, SURGE, DIVE = 3, 40, 1
 #: A block this long is a paragraph even without a sentence end.
 PARAGRAPH = 160
+#: Blocks up to this length are searched for the names of all sites, since copies carry the lines of their first site.
+SHORT = 250
 #: Most words of a head over related stories.
 HEAD_WORDS = 6
 
@@ -47,6 +49,8 @@ _TAGS = re.compile(rf"^\W*(?:{TAGS})\s*[:：]", re.I)
 _HEAD = re.compile(rf"^\W*(?:{HEADS})\W*$", re.I)
 _HANDLE = re.compile(r"^\W*[a-z_.]+\d+\s*[:：]\s")
 _END = re.compile(r"[.?!…。！？][\"'”’»)」]*\s*$")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_HOST = re.compile(r"[\w-]+(?:\.[\w-]+)+")
 _CUT = re.compile(r"[|·｜•]|\s[>»›]\s")
 
 _DROP = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|head)\b.*?(?:</\1\s*>|$)", re.I | re.S)
@@ -109,30 +113,56 @@ def _width(text: str) -> int:
     return len(text) if text.isascii() else len(text) + sum(1 for c in text if c >= "぀" and c < "豈")
 
 
-def own_blocks(blocks: list[Block], repeated: list[bool], names: tuple[str, ...], title: str | None) -> list[bool]:
-    """Which blocks are the article's own."""
+def is_data(text: str) -> bool:
+    """Digests, encoded data, rows of numbers: long, and hardly any words."""
+    if len(text) < 40:
+        return False
+    letters = sum(c.isalpha() for c in text)
+    return (" " not in text and text.isascii()) or (letters < 0.35 * len(text) and any(c.isdigit() for c in text))
+
+
+class SiteNames:
+    """Finds names and hosts of sites in a text."""
+
+    def __init__(self, sites: SiteRegistry) -> None:
+        self.sites = sites
+        self.names = {tuple(_LETTERS.findall(name.casefold())) for v in sites.sites.values() if (name := v.get("site_name"))} - {()}
+        self.sizes = sorted({len(n) for n in self.names})
+
+    def within(self, folded: str) -> bool:
+        """Whether a short, case-folded text names any site."""
+        words = _LETTERS.findall(folded)
+        return any(tuple(words[i : i + n]) in self.names for n in self.sizes for i in range(len(words) - n + 1)) or ("." in folded and any(self.sites.of_host(h) for h in _HOST.findall(folded)))
+
+
+def own_blocks(blocks: list[Block], repeated: list[bool], names: tuple[str, ...], title: str | None, every: SiteNames | None = None) -> list[bool]:
+    """Which blocks are the article's own. ``names`` are those of its site, ``every`` knows the names of all sites."""
     n = len(blocks)
     texts = [b.text for b in blocks]
     folded = [t.casefold() for t in texts]
     headline = squeeze(title or "").casefold()
+    data = [is_data(t) for t in texts]
+    named = [any(x in folded[i] for x in names) or (every is not None and len(texts[i]) <= SHORT and every.within(folded[i])) for i in range(n)]
     foreign = [
-        repeated[i] or blocks[i].link > 0.6 or any(x in folded[i] for x in names) or bool(_HANDLE.match(texts[i])) or len(_CUT.findall(texts[i])) > 1 or bool(_HEAD.match(texts[i]))
+        repeated[i] or blocks[i].link > 0.6 or named[i] or bool(_HANDLE.match(texts[i])) or (len(_CUT.findall(texts[i])) > 1 and not data[i]) or bool(_HEAD.match(texts[i]))
         for i in range(n)
     ]
     heading = [blocks[i].tag == "h1" or (headline != "" and folded[i] == headline) for i in range(n)]
-    weight = [0 if foreign[i] and not heading[i] else _width(texts[i]) for i in range(n)]
+    weight = [0 if (foreign[i] or data[i]) and not heading[i] else _width(texts[i]) for i in range(n)]
     # surge: the first weighty block whose window rises over the threshold
     begin = next((i for i in range(n) if heading[i]), None)
     if begin is None:
         begin = next((i for i in range(n) if weight[i] >= SURGE or (weight[i] and is_paragraph(texts[i]) and sum(weight[i : i + WINDOW]) >= SURGE)), None)
     if begin is None:
-        return [False] * n
+        return [not f for f in foreign]
+    if not heading[begin]:  # a headline may be too short for a surge
+        begin = next((i for i in range(begin) if weight[i] and (len(texts[i].split()) >= 4 or _width(texts[i]) >= SURGE // 2)), begin)
     first = next((i for i in range(begin + 1, n) if weight[i] and is_paragraph(texts[i])), n)
     # a head over related stories ends the article; a repeated short line before a paragraph is a subhead
     stop = n
     for i in range(first + 1, n):
         short = len(texts[i].split()) <= HEAD_WORDS and len(texts[i]) <= 60 and not _END.search(texts[i]) and not _CUT.search(texts[i])
-        if not short or any(c in ",:：" or c.isdigit() for c in texts[i]) or any(x in folded[i] for x in names):
+        if not short or any(c in ",:：" or c.isdigit() for c in texts[i]) or named[i]:
             continue
         if _HEAD.match(texts[i]) or (repeated[i] and not (i + 1 < n and weight[i + 1] and is_paragraph(texts[i + 1]))):
             stop = i
@@ -154,6 +184,8 @@ def own_blocks(blocks: list[Block], repeated: list[bool], names: tuple[str, ...]
         else:
             own[i] = True
     own[begin] = True
+    for i in range(begin, stop):
+        own[i] = own[i] or (data[i] and not foreign[i])
     return own
 
 
@@ -165,6 +197,7 @@ SCHEMA = "item_kind string, item_id long, block_no int, own boolean, block_md5 s
 
 
 def _run(kind: str, id_name: str, body: str, sites: SiteRegistry, keys: np.ndarray, keep_text: bool, emit_own: bool):
+    every = SiteNames(sites)
     words = {s: tuple(x for x in ((v.get("site_name") or "").casefold(), s) if x) for s, v in sites.sites.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +210,7 @@ def _run(kind: str, id_name: str, body: str, sites: SiteRegistry, keys: np.ndarr
                 flags = _repeated(made, site, keys)
                 out: list[tuple] = []
                 for k, blocks in enumerate(made):
-                    own = own_blocks(blocks, flags[k], words.get(site[k], ()), titles[a + k])
+                    own = own_blocks(blocks, flags[k], words.get(site[k], ()), titles[a + k], every)
                     for i, block in enumerate(blocks):
                         if emit_own or not own[i]:
                             out.append((kind, ids[a + k], i, own[i], _digest(block.text), block.text if keep_text else None))

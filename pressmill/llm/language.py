@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pressmill.llm.lettering import slices
+from pressmill.llm.lettering import composed, slices
 
 LANGS = ("en", "vi", "es", "pt", "fr", "de", "ja")
 JA = LANGS.index("ja")
@@ -181,7 +181,7 @@ def sample_labelled(documents: DataFrame, bound: int = FIT_DOCS) -> list[tuple[s
 
 def fit_model(documents: DataFrame, bound: int = FIT_DOCS) -> LanguageModel:
     """Fit on labelled documents, then once more with each line under the language the first model gives it."""
-    pairs = [(line, lang) for text, lang in sample_labelled(documents, bound) for line in text.split("\n") if line.strip()]
+    pairs = [(line, lang) for text, lang in sample_labelled(documents, bound) for line in composed(text).split("\n") if line.strip()]
     first = LanguageModel.fit(pairs)
     again: list[tuple[str, str]] = []
     for a in range(0, len(pairs), 2000):
@@ -214,7 +214,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             labels = batch.column("lang").to_pylist()
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = [composed(t) if t else "" for t in batch.column("text").to_pylist()]
             for a, b in slices([len(t) for t in texts]):
                 yield pa.RecordBatch.from_pylist(_rows(model, ids[a:b], labels[a:b], texts[a:b]), _ARROW)
 

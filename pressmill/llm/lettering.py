@@ -58,14 +58,15 @@ def powers(n: int) -> np.ndarray:
     return _POWERS
 
 
+def composed(text: str) -> str:
+    """NFC; the number of lines stays."""
+    return text if text.isascii() or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+
+
 def canonical(text: str) -> str:
     """NFC, and sharp s as two letters, so that upper-cased lines meet their originals."""
-    if not text.isascii():
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        if "ß" in text:
-            text = text.replace("ß", "ss")
-    return text
+    text = composed(text)
+    return text if text.isascii() or "ß" not in text else text.replace("ß", "ss")
 
 
 def slices(sizes: list[int], most: int = SLICE_CHARS):

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -138,9 +139,9 @@ class SiteNames:
 def own_blocks(blocks: list[Block], repeated: list[bool], names: tuple[str, ...], title: str | None, every: SiteNames | None = None) -> list[bool]:
     """Which blocks are the article's own. ``names`` are those of its site, ``every`` knows the names of all sites."""
     n = len(blocks)
-    texts = [b.text for b in blocks]
+    texts = [b.text if b.text.isascii() else unicodedata.normalize("NFC", b.text) for b in blocks]
     folded = [t.casefold() for t in texts]
-    headline = squeeze(title or "").casefold()
+    headline = unicodedata.normalize("NFC", squeeze(title or "")).casefold()
     data = [is_data(t) for t in texts]
     named = [any(x in folded[i] for x in names) or (every is not None and len(texts[i]) <= SHORT and every.within(folded[i])) for i in range(n)]
     foreign = [

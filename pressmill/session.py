@@ -6,10 +6,13 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[str] = []
+_SHIPPED: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +64,19 @@ def _forget() -> None:
             shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per session, unless ``PYTHONPATH`` already leads them to it."""
+    root = Path(__file__).resolve().parent.parent
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or _SHIPPED.get("to") == spark.sparkContext.applicationId:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="pressmill-"), "pressmill.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted((root / "pressmill").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED["to"] = spark.sparkContext.applicationId
+
+
 def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     return (

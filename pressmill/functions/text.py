@@ -14,9 +14,13 @@ TOKENS_PER_WORD = 1.33
 WORDS_PER_MINUTE = 220.0
 
 
+#: The characters of ``SPACE``.
+SPACES = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def strip(text: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    """Without white space of any kind at either end; looks at the ends only."""
+    return F.trim(text, F.lit(SPACES))
 
 
 def count_words(text: Column) -> Column:
@@ -24,9 +28,14 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("int")
 
 
+def tokens_of_words(words: Column, per_word: float = TOKENS_PER_WORD) -> Column:
+    """Words times a factor in double precision, rounded up."""
+    return F.ceil(words.cast("double") * F.lit(float(per_word))).cast("int")
+
+
 def estimate_tokens(text: Column, per_word: float = TOKENS_PER_WORD) -> Column:
-    """Words times a factor in double precision, rounded up; 0 for null and empty texts."""
-    return F.ceil(count_words(text).cast("double") * F.lit(float(per_word))).cast("int")
+    """Estimated tokens of a text; 0 for null and empty ones."""
+    return tokens_of_words(count_words(text), per_word)
 
 
 def reading_minutes(words: Column) -> Column:
@@ -40,7 +49,7 @@ def word_count_or_own(stated: Column, text: Column) -> Column:
 
 def normalize_content(text: Column) -> Column:
     """Line ends, tabs and no-break spaces to blanks, runs of blanks to one, ends stripped; "" for null."""
-    flat = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n\t]+", " "), "\\u00a0", " ")
+    flat = F.translate(F.coalesce(text, F.lit("")), "\r\n\t\u00a0", "    ")
     return strip(F.regexp_replace(flat, " {2,}", " "))
 
 

@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pressmill.functions.text import SENTENCE_GAP, TOKENS_PER_WORD, count_words, estimate_tokens, strip
+from pressmill.functions.text import SENTENCE_GAP, TOKENS_PER_WORD, count_words, strip, tokens_of_words
+from pressmill.session import spread
 
 CHUNK = "struct<index:int,content:string,char_length:int,word_count:int,token_estimate:int>"
 _WORD = re.compile(r"\w+")
@@ -59,9 +60,12 @@ def article_chunks(rows: DataFrame, size: int = 2000, overlap: int = 200, conten
 
 def describe(pieces: Column) -> Column:
     """Chunk structs of an array of texts, numbered from 0."""
+    counted = F.transform(pieces, lambda c: F.struct(c.alias("c"), count_words(c).alias("n")))
     return F.transform(
-        pieces,
-        lambda c, i: F.struct(i.cast("int").alias("index"), c.alias("content"), F.char_length(c).alias("char_length"), count_words(c).alias("word_count"), estimate_tokens(c).alias("token_estimate")),
+        counted,
+        lambda x, i: F.struct(
+            i.cast("int").alias("index"), x["c"].alias("content"), F.char_length(x["c"]).alias("char_length"), x["n"].alias("word_count"), tokens_of_words(x["n"]).alias("token_estimate")
+        ),
     )
 
 
@@ -131,6 +135,6 @@ def token_chunks(rows: DataFrame, key: str, text: str, most: int = 800, overlap:
                 content += pieces
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int32())), pa.array(index, pa.int32()), pa.array(content, pa.string())], ["key", "index", "content"])
 
-    made = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, index int, content string")
-    c = F.col("content")
-    return made.select(F.col("key").alias(key), "index", "content", F.char_length(c).alias("char_length"), count_words(c).alias("word_count"), estimate_tokens(c).alias("token_estimate"))
+    made = spread(rows.select(F.col(key).alias("key"), F.col(text).alias("text")), "key").mapInArrow(run, f"key {kind}, index int, content string")
+    counted = made.withColumn("word_count", count_words(F.col("content")))
+    return counted.select(F.col("key").alias(key), "index", "content", F.char_length("content").alias("char_length"), "word_count", tokens_of_words(F.col("word_count")).alias("token_estimate"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pressmill.html import css, xpath
 from pressmill.html.dom import Node, parse
 from pressmill.html.markdown import to_markdown
+from pressmill.session import spread
 from pressmill.sources.configs import FIELDS, GENERIC, SAFETY_CLEANUP, Field, ParserConfig, Query, config_for, selector_kind
 
 
@@ -189,7 +190,7 @@ def extract(
                 columns += [pa.array([r.get(p) for r in rows], _KINDS[p][1]) for p in parts]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "url", "status", "error", *parts])
 
-    made = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, schema)
+    made = spread(pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")), "key").mapInArrow(run, schema)
     return made.withColumnRenamed("key", key)
 
 

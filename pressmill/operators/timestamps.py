@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pressmill.session import spread
 from pressmill.sources.sites import SiteRegistry
 
 # Words of dates by meaning; month names by number.
@@ -332,4 +333,4 @@ def normalize_timestamps(values: DataFrame, sites: SiteRegistry) -> DataFrame:
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column("field_name").filter(keep), batch.column("rec_id").cast(pa.int64()).filter(keep), pa.array(us[ok])], ["field_name", "rec_id", "utc_us"])
 
-    return values.select("field_name", "rec_id", "value", "domain", "url").where("value is not null").mapInArrow(run, SCHEMA)
+    return spread(values.select("field_name", "rec_id", "value", "domain", "url").where("value is not null"), "rec_id").mapInArrow(run, SCHEMA)

@@ -40,6 +40,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_NARROW = ("Relation", "Project", "Filter", "Union", "LocalRelation", "LogicalRDD")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt over all cores by ``key`` where its files give less than half as many partitions as there are cores.
+
+    For stages that spend much time on every row. With data in many files, as at any scale that matters, nothing is
+    moved; inputs that are more than scans are left alone, since they have been shuffled by what made them.
+    """
+    execution = df._jdf.queryExecution()
+    names = [line.strip(" :+-!'").split(" ", 1)[0] for line in execution.optimizedPlan().toString().split("\n") if line.strip()]
+    if not all(n.startswith(_NARROW) for n in names):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if execution.toRdd().getNumPartitions() * 2 <= cores else df
+
+
 def keep(path: str) -> None:
     """Note a folder of the shared one for removal when the process ends."""
     if not _WRITTEN:

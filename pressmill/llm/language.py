@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pressmill.llm.lettering import composed, slices
+from pressmill.session import spread
 
 LANGS = ("en", "vi", "es", "pt", "fr", "de", "ja")
 JA = LANGS.index("ja")
@@ -218,7 +219,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
             for a, b in slices([len(t) for t in texts]):
                 yield pa.RecordBatch.from_pylist(_rows(model, ids[a:b], labels[a:b], texts[a:b]), _ARROW)
 
-    return documents.select("doc_id", "text", "lang").mapInArrow(run, SCHEMA)
+    return spread(documents.select("doc_id", "text", "lang"), "doc_id").mapInArrow(run, SCHEMA)
 
 
 _ARROW = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("label_ok", pa.bool_()), ("n_words", pa.int32())])

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pressmill.llm.lettering import slices
+from pressmill.session import spread
 
 #: Most test items held in memory; more are refused.
 MAX_ITEMS = 200_000
@@ -185,4 +186,4 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["doc_id", "item_id", "cover", "equal"])
 
-    return documents.select("doc_id", "text").where("text is not null").mapInArrow(run, "doc_id long, item_id long, cover double, equal double")
+    return spread(documents.select("doc_id", "text").where("text is not null"), "doc_id").mapInArrow(run, "doc_id long, item_id long, cover double, equal double")

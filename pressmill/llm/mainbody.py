@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pressmill.llm.lettering import letters_of, slices
 from pressmill.llm.sitelines import line_keys
+from pressmill.session import spread
 from pressmill.sources.sites import SiteRegistry
 
 #: Blocks in a sliding window, the least sum at a surge, and the sum under which the text dives.
@@ -243,10 +244,10 @@ def page_body(pages: DataFrame, sites: SiteRegistry, repeated: np.ndarray, keep_
     has the keys of the lines repeated across sites.
     """
     rows = pages.where("raw_html is not null").select("page_id", "url", "raw_html", F.lit(None).cast("string").alias("title"))
-    return rows.mapInArrow(_run("page", "page_id", "raw_html", sites, repeated, keep_text, emit_own), SCHEMA)
+    return spread(rows, "page_id").mapInArrow(_run("page", "page_id", "raw_html", sites, repeated, keep_text, emit_own), SCHEMA)
 
 
 def document_body(documents: DataFrame, sites: SiteRegistry, repeated: np.ndarray, keep_text: bool = False, emit_own: bool = True) -> DataFrame:
     """As ``page_body`` for the lines of documents (doc_id, source_url, title, text)."""
     rows = documents.where("text is not null").select("doc_id", F.col("source_url").alias("url"), "text", "title")
-    return rows.mapInArrow(_run("document", "doc_id", "text", sites, repeated, keep_text, emit_own), SCHEMA)
+    return spread(rows, "doc_id").mapInArrow(_run("document", "doc_id", "text", sites, repeated, keep_text, emit_own), SCHEMA)

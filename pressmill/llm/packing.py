@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pressmill.llm.lettering import slices
 from pressmill.llm.tokens import PieceCounter
-from pressmill.session import materialize
+from pressmill.session import materialize, spread
 
 CAPACITY = 2048
 #: Permitted lengths of a container; the greatest is the capacity.
@@ -78,7 +78,7 @@ def document_parts(documents: DataFrame, counter: PieceCounter, capacity: int =
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["doc_id", "part_no", "start", "end", "tokens"])
 
-    return documents.where("text is not null").select("doc_id", "text").mapInArrow(run, PARTS)
+    return spread(documents.where("text is not null").select("doc_id", "text"), "doc_id").mapInArrow(run, PARTS)
 
 
 def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS) -> tuple[np.ndarray, np.ndarray]:

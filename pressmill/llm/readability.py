@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pressmill.llm.language import LANGS, LanguageModel, document_languages
 from pressmill.llm.lettering import composed, slices
-from pressmill.session import materialize
+from pressmill.session import materialize, spread
 
 #: Most label rows the cut points are fitted on.
 FIT_LABELS = 20_000
@@ -124,7 +124,7 @@ def grades(documents: DataFrame, model: LanguageModel) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.float64()))], ["doc_id", "lang", "grade"])
 
     long = documents.select("doc_id", "text").where(F.char_length("text") >= MIN_CHARS)
-    return long.mapInArrow(run, "doc_id long, lang string, grade double")
+    return spread(long, "doc_id").mapInArrow(run, "doc_id long, lang string, grade double")
 
 
 def fit_cuts(pairs: list[tuple[str, float, int]]) -> dict[str, tuple[float, ...]]:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from pressmill.llm.lettering import letters_of, slices
-from pressmill.session import materialize, release
+from pressmill.session import materialize, release, spread
 from pressmill.sources.sites import SiteRegistry
 
 #: Rows up to which a table of repeated chunks or lines is broadcast; above it the join shuffles.
@@ -73,7 +73,7 @@ def line_table(documents: DataFrame, sites: SiteRegistry) -> DataFrame:
                     ["doc_id", "site", "line_no", "line_hash", "line_first", "head", "tail", "fresh"],
                 )
 
-    return documents.where("doc_id is not null").select("doc_id", "source_url", "text").mapInArrow(run, LINES_SCHEMA)
+    return spread(documents.where("doc_id is not null").select("doc_id", "source_url", "text"), "doc_id").mapInArrow(run, LINES_SCHEMA)
 
 
 def _frequent(counts: DataFrame, totals: DataFrame, min_docs: int, min_share: float, tag: str) -> tuple[DataFrame, bool]:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressmill.llm.lettering import slices
+from pressmill.session import spread
 
 LIMIT, OVERLAP = 2000, 200
 #: How far a target may move, as a share of the room a piece has beside its overlap.
@@ -98,7 +99,7 @@ def split_items(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, on
                 rows = [(kinds[i], ids[i], k, s, e, texts[i][s:e]) for i in range(a, b) for k, (s, e) in enumerate(piece_bounds(texts[i], limit, overlap))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(_TYPES)], _NAMES)
 
-    pieces = items.where(long).select("item_kind", F.col("item_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    pieces = spread(items.where(long).select("item_kind", F.col("item_id").cast("long").alias("item_id"), "text"), "item_id").mapInArrow(run, SCHEMA)
     if only_long:
         return pieces
     whole = items.where(~long & (F.char_length("text") > 0))

@@ -125,7 +125,7 @@ def follow_links(root: Node, spec: Field | None, domain: str, most: int = 25) ->
     return list(out)[:most]
 
 
-PARTS = ("fields", "meta", "json_ld", "text", "lang", "links", "feeds")
+PARTS = ("fields", "meta", "json_ld", "text", "lang", "links", "feeds", "title", "canonical")
 _VALUES = "struct<" + ",".join(f"{f}:array<string>" for f in FIELDS) + ">"
 _KINDS = {
     "fields": (_VALUES, pa.struct([(f, pa.list_(pa.string())) for f in FIELDS])),
@@ -135,6 +135,8 @@ _KINDS = {
     "lang": ("string", pa.string()),
     "links": ("array<string>", pa.list_(pa.string())),
     "feeds": ("array<string>", pa.list_(pa.string())),
+    "title": ("string", pa.string()),
+    "canonical": ("string", pa.string()),
 }
 _FEED_TYPES = ("application/rss+xml", "application/atom+xml")
 
@@ -167,6 +169,10 @@ def extract(
             row["json_ld"] = json_ld(root)
         if "text" in parts:
             row["text"] = container_text(root)
+        if "title" in parts and (head := root.find("title")) is not None:
+            row["title"] = " ".join(head.content().split()) or None
+        if "canonical" in parts:
+            row["canonical"] = next((urljoin(base, n.get("href")) for n in root.walk() if n.tag == "link" and "canonical" in (n.get("rel") or "").lower().split() and n.get("href")), None)
         if "feeds" in parts:
             row["feeds"] = [urljoin(base, n.get("href")) for n in root.walk() if n.tag == "link" and (n.get("type") or "").lower() in _FEED_TYPES and n.get("href")]
         config = config_for(shared.value, domain) or default

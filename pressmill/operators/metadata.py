@@ -128,6 +128,41 @@ def helper_topics(json_ld: Column, title: Column) -> Column:
     return F.filter(ld_topics(json_ld), lambda t: ~F.coalesce(F.lower(title).contains(F.lower(t)), F.lit(False)))
 
 
+def last_node(nodes: Column, *types: str) -> Column:
+    """The last node of the first of the types that occurs."""
+
+    def of(kind: str) -> Column:
+        return F.try_element_at(F.filter(nodes, lambda n: ld_type(n) == kind), F.lit(-1))
+
+    return F.coalesce(*map(of, types))
+
+
+def schema_summary(json_ld: Column, title: Column) -> Column:
+    """What a page's JSON-LD says of its article, of several kinds the most specific: headline, author, dates, image, topics."""
+    nodes = ld_nodes(json_ld)
+    article = last_node(nodes, "NewsArticle", "Article", "WebPage")
+    text = lambda path: F.try_variant_get(article, path, "string")
+    return F.struct(
+        F.coalesce(text("$.headline"), text("$.name")).alias("title"),
+        F.coalesce(text("$.author.name"), text("$.author[0].name"), F.try_variant_get(last_node(nodes, "Person"), "$.name", "string")).alias("author"),
+        normalize_datetime(text("$.datePublished")).alias("date_published"),
+        normalize_datetime(text("$.dateModified")).alias("date_modified"),
+        F.coalesce(text("$.image.url"), text("$.image[0].url"), F.try_variant_get(last_node(nodes, "ImageObject"), "$.url", "string")).alias("image"),
+        text("$.inLanguage").alias("locale"),
+        helper_topics(json_ld, title).alias("topics"),
+    )
+
+
+def meta_value(meta: Column, *names: str) -> Column:
+    """The first non-empty value of the names, whatever their case; entries are searched, as keys may differ in case only."""
+    entries = F.map_entries(meta)
+
+    def of(name: str) -> Column:
+        return F.nullif(F.try_element_at(F.filter(entries, lambda e: F.lower(e["key"]) == name.lower()), F.lit(-1))["value"], F.lit(""))
+
+    return F.coalesce(*map(of, names))
+
+
 def to_json_ld(node: Column) -> Column:
     """JSON text of a node."""
     return F.to_json(node)

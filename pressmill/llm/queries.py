@@ -63,7 +63,9 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimated tokens by source, language and site."""
     documents = table(spark, sf_dir, "documents")
-    return token_budget(estimate_tokens(documents, fit(documents, load_counter(table(spark, sf_dir, "vocab_pieces")))))
+    model = fit_model(documents)
+    weights = fit(documents, load_counter(table(spark, sf_dir, "vocab_pieces")), model=model)
+    return token_budget(estimate_tokens(documents, weights, model))
 
 
 def p2_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ left again and again, and a byte count for characters that begin no piece. Count
 slow. The estimate fits, per language, a linear regression of tokens on features the JVM counts without leaving
 generated code: bytes, words, letters, digits, punctuation, white space, accented and wide letters. A second tokenized
 sample, the holdout, corrects the bias per language. Both samples are bounded; the estimate covers every document.
+A document's language is the one its words show, since labels are missing or wrong in places; the label decides only
+for texts without words.
 """
 
 from __future__ import annotations
@@ -16,6 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pressmill.llm.language import LANGS, LanguageModel, document_languages
+from pressmill.llm.lettering import composed, slices
+from pressmill.session import spread
+
 #: Most documents tokenized to fit the regressions, and to correct their bias.
 FIT_DOCS, HOLDOUT_DOCS = 4_000, 4_000
 #: Words remembered by a worker before its memory is emptied.
@@ -77,19 +83,42 @@ def load_counter(vocab: DataFrame) -> PieceCounter:
     return PieceCounter([r["piece"] for r in rows])
 
 
+def _from_text(rows: DataFrame, columns: tuple[str, ...], name: str, kind: tuple[str, pa.DataType], make) -> DataFrame:
+    """``columns`` of rows and a new one made of each batch's texts; the texts themselves do not come back."""
+    fields = [f for f in rows.schema if f.name in columns]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"{name} {kind[0]}"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in slices([len(t or "") for t in texts]):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(make(texts[a:b]), kind[1])], [*(f.name for f in fields), name])
+
+    return rows.select(*[f.name for f in fields], *([] if "text" in columns else ["text"])).mapInArrow(run, schema)
+
+
 def count_tokens(documents: DataFrame, counter: PieceCounter, *columns: str) -> DataFrame:
     """Exact counts: ``columns`` of documents and ``tokens``; null and empty texts have 0."""
-    fields = [f for f in documents.schema if f.name in columns]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "tokens long"])
     shared = documents.sparkSession.sparkContext.broadcast(counter)
+    return _from_text(documents, columns, "tokens", ("long", pa.int64()), lambda texts: [shared.value.count(t) if t else 0 for t in texts])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            counts = pa.array([own.count(t) if t else 0 for t in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), counts], [*(f.name for f in fields), "tokens"])
 
-    return documents.select(*[f.name for f in fields], *([] if "text" in columns else ["text"])).mapInArrow(run, schema)
+def found_languages(texts: list[str | None], model: LanguageModel) -> list[str | None]:
+    """The language of most words of each text; null without words."""
+    split = [composed(t or "").split("\n") for t in texts]
+    scores, words, known = model.score([line for part in split for line in part])
+    first = np.concatenate(([0], np.cumsum([len(x) for x in split])[:-1])).astype(np.int64)
+    return [LANGS[k] if k >= 0 else None for k in document_languages(scores, words, known, first)]
+
+
+def with_language(rows: DataFrame, model: LanguageModel | None, *columns: str) -> DataFrame:
+    """``columns`` of rows, which have text and label, and ``language``: found in the text, or else the label's."""
+    if model is None:
+        return rows.withColumn("language", F.col("label")).select(*columns, "language")
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    found = _from_text(rows, (*columns, "label"), "language", ("string", pa.string()), lambda texts: found_languages(texts, shared.value))
+    return found.withColumn("language", F.coalesce("language", "label")).select(*columns, "language")
 
 
 def features(text: Column) -> dict[str, Column]:
@@ -137,14 +166,14 @@ def _sampled(part: int, parts: int, rate: float) -> Column:
     return (h >= low) & (h < low + int(rate * (1 << 40)))
 
 
-def fit(documents: DataFrame, counter: PieceCounter, fit_docs: int = FIT_DOCS, holdout_docs: int = HOLDOUT_DOCS) -> dict[str, np.ndarray]:
+def fit(documents: DataFrame, counter: PieceCounter, fit_docs: int = FIT_DOCS, holdout_docs: int = HOLDOUT_DOCS, model: LanguageModel | None = None) -> dict[str, np.ndarray]:
     """Coefficients by language, the intercept last; ``*`` for languages with few documents."""
     total = max(documents.count(), 1)
     rows = []
     for part, bound in ((0, fit_docs), (1, holdout_docs)):
-        some = documents.where("text is not null").where(_sampled(part, 2, min(0.5, bound / total))).select("text", language_key(F.col("lang")).alias("language")).limit(2 * bound)
-        measured = some.select("language", "text", *[c.cast("double").alias(k) for k, c in features(F.col("text")).items()])
-        rows.append(count_tokens(measured, counter, "language", *NAMES).toPandas())
+        some = documents.where("text is not null").where(_sampled(part, 2, min(0.5, bound / total))).select("text", language_key(F.col("lang")).alias("label")).limit(2 * bound)
+        measured = some.select("label", "text", *[c.cast("double").alias(k) for k, c in features(F.col("text")).items()])
+        rows.append(with_language(count_tokens(measured, counter, "label", "text", *NAMES), model, *NAMES, "tokens").toPandas())
     return _regress(*rows)
 
 
@@ -171,17 +200,20 @@ def _regress(fitted, holdout, least: int = 40, ridge: float = 1e-3) -> dict[str,
     return out
 
 
-def estimate_tokens(documents: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, source, language, site and ``est_tokens``, one row per document; null and empty texts have 0."""
+def estimate_tokens(documents: DataFrame, weights: dict[str, np.ndarray], model: LanguageModel | None = None) -> DataFrame:
+    """doc_id, source, language, site and ``est_tokens``, one row per document; null and empty texts have 0.
+
+    Without a model the language is the label's. documents needs doc_id, text, lang, source, domain and source_url.
+    """
     text = F.col("text")
     table = F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), F.array(*[F.lit(float(v)) for v in w]))])
-    rows = documents.select("doc_id", "source", language_key(F.col("lang")).alias("language"), site_key(F.col("domain"), F.col("source_url")).alias("site"), "text", *[c.cast("double").alias(k) for k, c in features(text).items()])
-    own = F.coalesce(table[F.col("language")], table[F.lit("*")])
-    rows = rows.withColumn("w", own)
+    blank = F.coalesce(F.char_length(F.trim("text")), F.lit(0)) == 0
+    keys = documents.select("doc_id", "source", language_key(F.col("lang")).alias("label"), site_key(F.col("domain"), F.col("source_url")).alias("site"), "text", blank.alias("blank"), *[c.cast("double").alias(k) for k, c in features(text).items()])
+    rows = with_language(spread(keys, "doc_id") if model else keys, model, "doc_id", "source", "site", "blank", *NAMES).withColumn("w", F.coalesce(table[F.col("language")], table[F.lit("*")]))
     total = F.element_at("w", len(NAMES) + 1)
     for k, name in enumerate(NAMES):
         total = total + F.element_at("w", k + 1) * F.col(name)
-    return rows.select("doc_id", "source", "language", "site", F.when(F.char_length(F.trim("text")) > 0, F.greatest(F.lit(0.0), total)).otherwise(F.lit(0.0)).alias("est_tokens"))
+    return rows.select("doc_id", "source", "language", "site", F.when(F.col("blank"), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), total)).alias("est_tokens"))
 
 
 def token_budget(estimates: DataFrame) -> DataFrame:

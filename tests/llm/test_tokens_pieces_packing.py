@@ -96,6 +96,15 @@ def test_estimates_are_close_and_add_up(spark):
     assert {r.value for r in budget if r.dimension == "source"} == {"A", "B", None}
 
 
+def test_languages_of_the_text_over_those_of_labels(spark):
+    from pressmill.llm.language import LanguageModel
+
+    model = LanguageModel.fit([("market loans the abc", "en")] * 20 + [("ngân hàng chợ", "vi")] * 20)
+    docs = spark.createDataFrame([(1, "the market", "vi"), (2, "ngân hàng", None), (3, "12", "fr"), (4, None, "en")], "doc_id long, text string, lang string").selectExpr("*", "'s' as source", "null as domain", "null as source_url", "'x' as label")
+    got = {r.doc_id: (r.language, r.est_tokens > 0) for r in estimate_tokens(docs, fit(docs, COUNTER, model=model), model).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "en", 2: "vi", 3: "fr", 4: "en"} and not got[4][1]
+
+
 def test_estimates_without_training_rows(spark):
     docs = documents(spark, 3).limit(0)
     assert token_budget(estimate_tokens(docs, fit(docs, COUNTER))).count() == 0

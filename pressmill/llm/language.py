@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pressmill.llm.lettering import composed, slices
+from pressmill.llm.lettering import composed, slices, small_batches
 from pressmill.session import spread
 
 LANGS = ("en", "vi", "es", "pt", "fr", "de", "ja")
@@ -212,7 +212,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             ids = batch.column("doc_id").to_pylist()
             labels = batch.column("lang").to_pylist()
             texts = [composed(t) if t else "" for t in batch.column("text").to_pylist()]

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pressmill.llm.lettering import slices
+from pressmill.llm.lettering import slices, small_batches
 from pressmill.session import spread
 
 #: Most test items held in memory; more are refused.
@@ -174,7 +174,7 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a, b in slices([len(t) for t in texts]):
                 found = []

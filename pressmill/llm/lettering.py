@@ -7,10 +7,13 @@ feeds are kept as line ends.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 LINE_END = 1
 _TOP = 0x30000
@@ -19,6 +22,7 @@ WINDOW, CUT_BITS = 12, 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Characters handled at once; bounds the memory of a batch.
 SLICE_CHARS = 600_000
+SLICE_BYTES = 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -81,6 +85,14 @@ def slices(sizes: list[int], most: int = SLICE_CHARS):
         yield start, len(sizes)
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``most`` bytes of text, so that a worker holds few texts as objects at a time."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        for a, b in slices(sizes, most):
+            yield batch.slice(a, b - a)
+
+
 @dataclass
 class Letters:
     """Lines of several texts. Only lines with a letter have an entry in the ``line_*`` arrays."""

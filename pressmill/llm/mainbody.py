@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pressmill.llm.lettering import letters_of, slices
+from pressmill.llm.lettering import letters_of, slices, small_batches
 from pressmill.llm.sitelines import line_keys
 from pressmill.session import spread
 from pressmill.sources.sites import SiteRegistry
@@ -203,7 +203,7 @@ def _run(kind: str, id_name: str, body: str, sites: SiteRegistry, keys: np.ndarr
     words = {s: tuple(x for x in ((v.get("site_name") or "").casefold(), s) if x) for s, v in sites.sites.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, body):
             ids, urls = batch.column(id_name).to_pylist(), batch.column("url").to_pylist()
             texts, titles = batch.column(body).to_pylist(), batch.column("title").to_pylist()
             for a, b in slices([len(t) for t in texts]):

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pressmill.llm.lettering import slices
+from pressmill.llm.lettering import slices, small_batches
 from pressmill.llm.tokens import PieceCounter
 from pressmill.session import materialize, spread
 
@@ -71,7 +71,7 @@ def document_parts(documents: DataFrame, counter: PieceCounter, capacity: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a, b in slices([len(t) for t in texts]):
                 rows = [(ids[i], k, *p) for i in range(a, b) for k, p in enumerate(parts_of(texts[i], own, capacity))]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pressmill.llm.language import LANGS, LanguageModel, document_languages
-from pressmill.llm.lettering import composed, slices
+from pressmill.llm.lettering import composed, slices, small_batches
 from pressmill.session import materialize, spread
 
 #: Most label rows the cut points are fitted on.
@@ -105,7 +105,7 @@ def grades(documents: DataFrame, model: LanguageModel) -> DataFrame:
     graded = {LANGS.index(lang): lang for lang in DEFAULT_CUTS}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, texts = batch.column("doc_id").to_pylist(), [composed(t) for t in batch.column("text").to_pylist()]
             for a, b in slices([len(t) for t in texts]):
                 split = [t.split("\n") for t in texts[a:b]]

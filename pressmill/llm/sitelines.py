@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pressmill.llm.lettering import letters_of, slices
+from pressmill.llm.lettering import letters_of, slices, small_batches
 from pressmill.session import materialize, release, spread
 from pressmill.sources.sites import SiteRegistry
 
@@ -47,7 +47,7 @@ def line_table(documents: DataFrame, sites: SiteRegistry) -> DataFrame:
     """One row per line with letters, and one with line_no -1 per document (it counts the documents of a site)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             urls = batch.column("source_url").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pressmill.llm.lettering import slices
+from pressmill.llm.lettering import slices, small_batches
 from pressmill.session import spread
 
 LIMIT, OVERLAP = 2000, 200
@@ -93,7 +93,7 @@ def split_items(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, on
     long = F.char_length("text") > limit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             kinds, ids, texts = (batch.column(c).to_pylist() for c in ("item_kind", "item_id", "text"))
             for a, b in slices([len(t) for t in texts]):
                 rows = [(kinds[i], ids[i], k, s, e, texts[i][s:e]) for i in range(a, b) for k, (s, e) in enumerate(piece_bounds(texts[i], limit, overlap))]

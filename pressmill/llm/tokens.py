@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressmill.llm.language import LANGS, LanguageModel, document_languages
-from pressmill.llm.lettering import composed, slices
+from pressmill.llm.lettering import composed, slices, small_batches
 from pressmill.session import spread
 
 #: Most documents tokenized to fit the regressions, and to correct their bias.
@@ -89,7 +89,7 @@ def _from_text(rows: DataFrame, columns: tuple[str, ...], name: str, kind: tuple
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"{name} {kind[0]}"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column("text").to_pylist()
             for a, b in slices([len(t or "") for t in texts]):
                 part = batch.slice(a, b - a)

@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 METRICS = ("cosine", "dot_product", "euclidean")
-#: Query vectors up to which a batch search broadcasts them; more are searched in blocks of this size.
+#: Query vectors held and broadcast at a time; more are searched in several passes.
+QUERY_SET = 20_000
+#: Query vectors scored at once within a task.
 QUERY_BLOCK = 256
 COUNT_BOUND = 10_000
 
@@ -31,13 +33,29 @@ class HashingEmbedder:
     def __init__(self, dimension: int = 64) -> None:
         self.dimension = dimension
 
+    def _word(self, word: str) -> tuple[list[int], list[float]]:
+        """Places and signs of a word and its letter trigrams."""
+        at, sign = [], []
+        for part in (word, *(word[i : i + 3] for i in range(max(0, len(word) - 2)))):
+            h = int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "big")
+            at.append(h % self.dimension)
+            sign.append(1.0 if h >> 63 else -1.0)
+        return at, sign
+
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension))
+        known: dict[str, tuple[list[int], list[float]]] = {}
         for row, text in zip(out, texts):
+            at: list[int] = []
+            sign: list[float] = []
             for word in (text or "").replace("\n", " ").lower().split():
-                for part in (word, *(word[i : i + 3] for i in range(max(0, len(word) - 2)))):
-                    h = int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "big")
-                    row[h % self.dimension] += 1.0 if h >> 63 else -1.0
+                found = known.get(word)
+                if found is None:
+                    found = known[word] = self._word(word)
+                at += found[0]
+                sign += found[1]
+            if at:
+                row += np.bincount(at, weights=sign, minlength=self.dimension)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm == 0, 1.0, norm)
 
@@ -80,30 +98,44 @@ def search(vectors: DataFrame, query: list[float], limit: int = 5, metric: str =
 def batch_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, metric: str = "cosine", key: str = "vec_id", column: str = "embedding", exclude_self: bool = True) -> DataFrame:
     """(query_id, vec_id, score, rank): the nearest rows for each of a stated set of query vectors.
 
-    Queries go to the tasks in blocks of ``QUERY_BLOCK``; each task keeps only its best rows per query, so what is
-    shuffled is (tasks x queries x limit) rows, whatever the number of vectors.
+    Queries are dealt by hash into passes of about ``QUERY_SET``; a pass holds its queries in every task and scans the
+    vectors once. Each task keeps only its best rows per query, so what is shuffled is (tasks x queries x limit) rows,
+    whatever the number of vectors.
     """
-    collected = queries.select(key, column).where(F.col(column).isNotNull()).toPandas()
+    queries = queries.where(F.col(column).isNotNull()).select(key, column)
+    passes = max(1, -(-queries.count() // QUERY_SET))
+    nearest = None
+    for k in range(passes):
+        part = _pass(vectors, queries.where(F.pmod(F.xxhash64(key), F.lit(passes)) == k), limit, metric, key, column, exclude_self)
+        nearest = part if nearest is None else nearest.unionByName(part)
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return nearest.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= limit)
+
+
+def _pass(vectors: DataFrame, queries: DataFrame, limit: int, metric: str, key: str, column: str, exclude_self: bool) -> DataFrame:
+    """Candidates of one pass: the best rows of every task for every query."""
+    collected = queries.toPandas()
     names = collected[key].to_numpy(np.int64)
-    matrix = np.array(collected[column].tolist(), np.float64).reshape(len(names), -1) if len(names) else np.zeros((0, 0))
     spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score double"
     if not len(names):
-        return spark.createDataFrame([], schema + ", rank int")
-    shared = spark.sparkContext.broadcast((names, matrix))
+        return spark.createDataFrame([], schema)
+    size = max(map(len, collected[column]))
+    good = [len(v) == size for v in collected[column]]
+    matrix = np.array(collected[column][good].tolist(), np.float64).reshape(-1, size)
+    shared = spark.sparkContext.broadcast((names[good], matrix))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = shared.value
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            good = batch[batch[column].notna()]
-            good = good[[len(v) == q.shape[1] for v in good[column]]]
-            if not len(good):
+            usable = batch[batch[column].notna()]
+            usable = usable[[len(v) == q.shape[1] for v in usable[column]]]
+            if not len(usable):
                 continue
-            v, own = np.array(good[column].tolist(), np.float64), good[key].to_numpy(np.int64)
+            v, own = np.array(usable[column].tolist(), np.float64), usable[key].to_numpy(np.int64)
             for start in range(0, len(ids), QUERY_BLOCK):
-                block = q[start : start + QUERY_BLOCK]
-                s = _scores(block, v, metric)
+                s = _scores(q[start : start + QUERY_BLOCK], v, metric)
                 if exclude_self:
                     s[ids[start : start + QUERY_BLOCK, None] == own[None, :]] = -np.inf
                 for i, row in enumerate(s, start):
@@ -115,9 +147,7 @@ def batch_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, metric
         for i, (s, k) in best.items():
             yield pd.DataFrame({"query_id": np.full(len(s), ids[i]), "vec_id": k, "score": s})
 
-    nearest = vectors.select(key, column).mapInPandas(run, schema)
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return nearest.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= limit)
+    return vectors.select(key, column).mapInPandas(run, schema)
 
 
 def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:

@@ -82,7 +82,7 @@ def test_results(spark, tmp_path):
 
 
 @pytest.mark.parametrize("metric", V.METRICS)
-def test_search_equals_brute_force(spark, metric):
+def test_search_equals_brute_force(spark, metric, monkeypatch):
     rng = np.random.default_rng(1)
     data = rng.normal(size=(60, 8)).astype(np.float32)
     data[7] = data[9]
@@ -98,6 +98,11 @@ def test_search_equals_brute_force(spark, metric):
     assert [r.vec_id for r in got] == best
     batch = V.batch_search(df, df.where("vec_id in (7, 20)"), 4, metric).collect()
     assert [r.vec_id for r in sorted((r for r in batch if r.query_id == 7), key=lambda r: r["rank"])] == [k for k in [ids[k] for k in np.lexsort((ids, -np.round(want, 9)))] if k != 7][:4]
+    monkeypatch.setattr(V, "QUERY_SET", 3)
+    every_query = df.where("vec_id < 12")
+    several = {(r.query_id, r["rank"], r.vec_id) for r in V.batch_search(df, every_query, 3, metric).collect()}
+    monkeypatch.undo()
+    assert several == {(r.query_id, r["rank"], r.vec_id) for r in V.batch_search(df, every_query, 3, metric).collect()} and len(several) == 36
     assert V.batch_search(df, df.limit(0), 4).count() == 0 and V.batch_search(df.limit(0), df.where("vec_id = 7"), 4).count() == 0
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pressmill.functions.ids import cache_key
+from pressmill.session import materialize
 
 
 def unseen(urls: DataFrame, seen: DataFrame, url: str = "url", method: str = "md5", secret: str | None = None) -> DataFrame:
@@ -57,13 +58,12 @@ class Frontier:
         key = self.spark.range(1).select(cache_key(F.lit(url), self.method, self.secret).alias("url_key"))
         return bool(self.seen().join(F.broadcast(key), "url_key", "left_semi").limit(1).count())
 
-    def drain(self, n: int) -> DataFrame:
-        """The next ``n`` URLs in order; later drains begin after them."""
-        batch = self.queue().orderBy("seq").limit(n)
-        last = batch.agg(F.max("seq")).first()[0]
-        queue = self._read("queue", self._QUEUE)
+    def drain(self, n: int | None = None) -> DataFrame:
+        """The next ``n`` URLs in order, or all; later drains begin after them."""
+        waiting = self.queue()
+        last = (waiting if n is None else waiting.orderBy("seq").limit(n)).agg(F.max("seq")).first()[0]
         before, self.cursor = self.cursor, self.cursor if last is None else last
-        return queue.where((F.col("seq") > before) & (F.col("seq") <= self.cursor)).orderBy("seq")
+        return self._read("queue", self._QUEUE).where((F.col("seq") > before) & (F.col("seq") <= self.cursor)).orderBy("seq")
 
     def __len__(self) -> int:
         return self.queue().count()
@@ -75,9 +75,20 @@ class Frontier:
 
 
 def url_log(urls: DataFrame, task: str, order: str) -> DataFrame:
-    """A task's URLs with their position from 0; repeated ones are kept."""
-    rank = Window.partitionBy(task).orderBy(order)
-    return urls.withColumn("pos", F.row_number().over(rank) - 1)
+    """A task's URLs with their position ``pos`` from 0 by ``order``; repeated ones are kept, ties in any order.
+
+    A task may hold most of all rows, so none is gathered: rows are sorted over ranges of (task, order), numbered within
+    each range, and the numbers of the ranges before are added. Only one count per task and range is put together.
+    """
+    ranges = urls.repartitionByRange(F.col(task), F.col(order)).sortWithinPartitions(task, order)
+    # an id that grows with the rows of a range: its upper bits name the range, the lower 33 count the rows
+    numbered = materialize(ranges.withColumn("_id", F.monotonically_increasing_id()), "log")
+    part, row = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    each = numbered.groupBy(F.col(task).alias("_task"), part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min(row).alias("_first"))
+    before = Window.partitionBy("_task").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = each.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    joined = numbered.withColumn("_part", part).join(offsets.withColumnRenamed("_part", "_part2"), F.col(task).eqNullSafe(F.col("_task")) & (F.col("_part") == F.col("_part2")))
+    return joined.select(*urls.columns, (row - F.col("_first") + F.col("_before")).alias("pos"))
 
 
 def log_slice(log: DataFrame, start: int, limit: int) -> DataFrame:

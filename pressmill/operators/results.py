@@ -29,12 +29,18 @@ class ResultStore:
         """Write a task's articles with position, replacing what it had. Positions follow ``order``."""
         from pressmill.operators.frontier import url_log
 
-        numbered = url_log(articles.withColumn("task_id", F.lit(task_id)), "task_id", order)
-        with_expiry(numbered, ttl_days).drop("task_id").write.mode("overwrite").parquet(f"{self.path}/articles/task_id={task_id}")
+        numbered = url_log(articles.withColumn("_one", F.lit(0)), "_one", order)
+        with_expiry(numbered.drop("_one"), ttl_days).write.mode("overwrite").parquet(f"{self.path}/articles/task_id={task_id}")
 
     def save_stats(self, task_id: str, stats: DataFrame, ttl_days: float = DEFAULT_TTL_DAYS) -> None:
         with_expiry(stats, ttl_days).write.mode("overwrite").parquet(f"{self.path}/stats/task_id={task_id}")
 
+    def save_failures(self, task_id: str, failed: DataFrame, ttl_days: float = DEFAULT_TTL_DAYS) -> None:
+        with_expiry(failed, ttl_days).write.mode("overwrite").parquet(f"{self.path}/failures/task_id={task_id}")
+
+    def failures(self, task_id: str) -> DataFrame | None:
+        return self._task("failures", task_id)
+
     def _exists(self, path: str) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
@@ -63,7 +69,7 @@ class ResultStore:
     def delete(self, task_id: str) -> bool:
         """Remove a task; whether there was one."""
         found = False
-        for kind in ("articles", "stats"):
+        for kind in ("articles", "stats", "failures"):
             path = f"{self.path}/{kind}/task_id={task_id}"
             if self._exists(path):
                 p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -87,13 +93,16 @@ def compact(articles: DataFrame) -> DataFrame:
     return articles.select("id", "title", "source_url", "domain", "word_count", F.lit("markdown").alias("format"))
 
 
-def task_stats(outcomes: DataFrame, task: str = "task_id", most_failed: int | None = None) -> DataFrame:
-    """Per task: total_urls, success_count, fail_count, failed_count and the failed URLs with error and status.
+def task_stats(outcomes: DataFrame, task: str = "task_id") -> DataFrame:
+    """Per task: total_urls, success_count and fail_count.
 
     outcomes has the task, url, ok, error and status. Every URL counts as one of the two outcomes; a null ``ok`` is a
-    failure. ``failed`` grows with a task's failures; ``most_failed`` keeps the first by URL in the list.
+    failure. The failed URLs are the rows of ``failures``: a task's list of them has no bound.
     """
     ok = F.coalesce(F.col("ok"), F.lit(False))
-    failed = F.sort_array(F.collect_list(F.when(~ok, F.struct("url", "error", "status"))))
-    failed = F.slice(failed, 1, most_failed) if most_failed else failed
-    return outcomes.groupBy(task).agg(F.count(F.lit(1)).alias("total_urls"), F.count_if(ok).alias("success_count"), F.count_if(~ok).alias("fail_count"), failed.alias("failed"))
+    return outcomes.groupBy(task).agg(F.count(F.lit(1)).alias("total_urls"), F.count_if(ok).alias("success_count"), F.count_if(~ok).alias("fail_count"))
+
+
+def failures(outcomes: DataFrame, task: str = "task_id") -> DataFrame:
+    """One row per failed URL: the task, url, error and status."""
+    return outcomes.where(~F.coalesce(F.col("ok"), F.lit(False))).select(task, "url", "error", "status")

@@ -366,9 +366,11 @@ def seen_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select count(*) as rows, count(loc) as urls, count(distinct loc) as distinct_urls from sitemap_items")
 def url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "sitemap_items")
-    d = frontier.unseen(s.select(F.col("loc").alias("url")), spark.createDataFrame([], "url_key string"))
-    return s.agg(F.count(F.lit(1)).alias("rows"), F.count("loc").alias("urls")).crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("distinct_urls"))))
+    s = table(spark, sf_dir, "sitemap_items").select(F.col("loc").alias("url"))
+    fresh = frontier.unseen(s, spark.createDataFrame([], "url_key string"))
+    one = lambda c: F.lit(c).cast("long")
+    counted = s.select(one(1).alias("rows"), F.col("url").isNotNull().cast("long").alias("urls"), one(0).alias("distinct_urls")).unionByName(fresh.select(one(0).alias("rows"), one(0).alias("urls"), one(1).alias("distinct_urls")))
+    return counted.agg(*[F.sum(c).alias(c) for c in ("rows", "urls", "distinct_urls")])
 
 
 @query("select page_id, array_to_string(list_distinct_ordered, '|') as urls from (select doc_id as page_id, [source_url, domain, source_url] as l, case when domain is null then [source_url] else [source_url, domain] end as list_distinct_ordered from documents)")
@@ -377,22 +379,30 @@ def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("page_id"), F.array_join(discovery.ordered_distinct(F.array("source_url", "domain", "source_url")), "|").alias("urls"))
 
 
-@query("select domain, pos::INT as pos, page_id, url from (select domain, page_id, url, row_number() over (partition by domain order by page_id) - 1 as pos from raw_pages where domain is not null) where pos >= 5 and pos < 25")
+@query("select domain, pos, page_id, url from (select domain, page_id, url, row_number() over (partition by domain order by page_id) - 1 as pos from raw_pages where domain is not null) where pos >= 5 and pos < 25")
 def result_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of every task's URL log; a task is a site's crawl here."""
     log = frontier.url_log(table(spark, sf_dir, "raw_pages").where("domain is not null").select("domain", "page_id", "url"), "domain", "page_id")
     return frontier.log_slice(log, 5, 20).select("domain", "pos", "page_id", "url")
 
 
-@query("""
-    select domain as task_id, count(*) as total_urls, count(*) filter (where ok) as success_count, count(*) filter (where not ok) as fail_count,
-      coalesce(string_agg(case when not ok then url end, '|' order by url), '') as failed
-    from (select domain, url, raw_html is not null and trim(raw_html) <> '' as ok from raw_pages) group by 1""")
-def task_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as the outcome of its site's crawl: an empty page is a failure."""
     ok = F.col("raw_html").isNotNull() & (F.trim("raw_html") != "")
-    outcomes = table(spark, sf_dir, "raw_pages").select(F.col("domain").alias("task_id"), "url", ok.alias("ok"), F.when(~ok, "empty page").alias("error"), F.lit(200).alias("status"))
-    s = results.task_stats(outcomes)
-    return s.select("task_id", "total_urls", "success_count", "fail_count", F.array_join(F.transform("failed", lambda x: x["url"]), "|").alias("failed"))
+    return table(spark, sf_dir, "raw_pages").select(F.col("domain").alias("task_id"), "url", ok.alias("ok"), F.when(~ok, "empty page").alias("error"), F.lit(200).alias("status"))
+
+
+_OK = "raw_html is not null and trim(raw_html) <> ''"
+
+
+@query(f"select domain as task_id, count(*) as total_urls, count(*) filter (where {_OK}) as success_count, count(*) filter (where not ({_OK})) as fail_count from raw_pages group by 1")
+def task_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.task_stats(_outcomes(spark, sf_dir))
+
+
+@query(f"select domain as task_id, url, 'empty page' as error, 200 as status from raw_pages where not ({_OK})")
+def task_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.failures(_outcomes(spark, sf_dir))
 
 
 @query("select page_id, url from raw_pages where fetched_at + interval 7 day > timestamp '2024-01-15 00:00:00'")

@@ -10,7 +10,7 @@ from pressmill.functions.text import strip
 from pressmill.operators import articles, chunking, discovery
 from pressmill.operators.extract import extract
 from pressmill.operators.frontier import Frontier
-from pressmill.operators.results import ResultStore, task_stats
+from pressmill.operators.results import ResultStore, failures, task_stats
 from pressmill.operators.vectors import VectorStore
 from pressmill.session import materialize
 from pressmill.sources.configs import GENERIC, ParserConfig
@@ -49,12 +49,14 @@ def single_page(page: DataFrame, configs: dict[str, ParserConfig] | None = None,
 
 
 def scrape_for_user(task_id: str, pages: DataFrame, store: ResultStore, configs: dict[str, ParserConfig] | None = None, settings: Settings | None = None) -> DataFrame:
-    """Articles and statistics of a task, kept for a while; returns the statistics."""
+    """Articles, statistics and failures of a task, kept for a while; returns the statistics."""
     settings = settings or Settings.load(pages.sparkSession)
     run = scrape(pages, configs)
     store.save(task_id, run.articles, settings.result_ttl_days)
-    stats = task_stats(run.outcomes.withColumn("task_id", F.lit(task_id)))
-    store.save_stats(task_id, stats, settings.result_ttl_days)
+    outcomes = run.outcomes.withColumn("task_id", F.lit(task_id))
+    stats = task_stats(outcomes)
+    store.save_stats(task_id, stats.drop("task_id"), settings.result_ttl_days)
+    store.save_failures(task_id, failures(outcomes).drop("task_id"), settings.result_ttl_days)
     return stats
 
 
@@ -63,7 +65,7 @@ def scrape_for_retrieval(pages: DataFrame, vectors: VectorStore, frontier: Front
     settings = settings or Settings.load(pages.sparkSession)
     if frontier is not None:
         frontier.add(pages)
-        pages = pages.join(frontier.drain(2**31 - 1).select("url"), "url", "left_semi")
+        pages = pages.join(frontier.drain().select("url"), "url", "left_semi")
     run = scrape(pages, configs)
     chunks = chunking.token_chunks(run.articles, "id", "content", settings.chunk_tokens, settings.chunk_overlap_tokens)
     names = run.articles.select("id", "title", "source_url", "domain").dropDuplicates(["id"])

@@ -58,6 +58,13 @@ def test_frontier(spark, tmp_path):
     assert not f.has("u1")
     log = frontier.url_log(spark.createDataFrame([("t", 3, "c"), ("t", 1, "a"), ("t", 2, "a")], "task string, k int, url string"), "task", "k")
     assert [(r.pos, r.url) for r in frontier.log_slice(log, 1, 5).orderBy("pos").collect()] == [(1, "a"), (2, "c")]
+    hot = spark.range(3000).selectExpr("if(id % 3 = 0, concat('t', id), if(id % 7 = 0, null, 'hot')) as task", "(id * 7919) % 3000 as k", "'clash' as pos2").repartition(7)
+    got = frontier.url_log(hot, "task", "k").collect()
+    assert len(got) == 3000
+    for task in ("hot", None):
+        own = sorted((r.k, r.pos) for r in got if r.task == task)
+        assert [p for _, p in own] == list(range(len(own)))
+    assert all(r.pos == 0 for r in got if (r.task or "").startswith("t"))
 
 
 def test_results(spark, tmp_path):
@@ -74,10 +81,10 @@ def test_results(spark, tmp_path):
     with pytest.raises(KeyError):
         store.page("none")
     outcomes = spark.createDataFrame([("t1", "u1", True, None, 200), ("t1", "u2", False, "timeout", 0), ("t1", "u3", None, None, None)], "task_id string, url string, ok boolean, error string, status int")
-    stats = results.task_stats(outcomes)
-    store.save_stats("t1", stats)
+    store.save_stats("t1", results.task_stats(outcomes).drop("task_id"))
+    store.save_failures("t1", results.failures(outcomes).drop("task_id"))
     s = store.stats("t1").first()
-    assert (s.total_urls, s.success_count, s.fail_count) == (3, 1, 2) and [x.url for x in s.failed] == ["u2", "u3"]
+    assert (s.total_urls, s.success_count, s.fail_count) == (3, 1, 2) and {x.url for x in store.failures("t1").collect()} == {"u2", "u3"}
     assert store.delete("t1") and not store.delete("t1") and store.articles("t1") is None
 
 

@@ -198,7 +198,7 @@ def _digest(text: str) -> str:
 SCHEMA = "item_kind string, item_id long, block_no int, own boolean, block_md5 string, block string"
 
 
-def _run(kind: str, id_name: str, body: str, sites: SiteRegistry, keys: np.ndarray, keep_text: bool, emit_own: bool):
+def _run(kind: str, id_name: str, body: str, sites: SiteRegistry, keys: np.ndarray, keep_text: bool, emit_own: bool, whole: bool = False):
     every = SiteNames(sites)
     words = {s: tuple(x for x in ((v.get("site_name") or "").casefold(), s) if x) for s, v in sites.sites.items()}
 
@@ -213,6 +213,9 @@ def _run(kind: str, id_name: str, body: str, sites: SiteRegistry, keys: np.ndarr
                 out: list[tuple] = []
                 for k, blocks in enumerate(made):
                     own = own_blocks(blocks, flags[k], words.get(site[k], ()), titles[a + k], every)
+                    if whole:
+                        out.append((kind, ids[a + k], sum(own), True, None, "\n".join(b.text for b, o in zip(blocks, own) if o)))
+                        continue
                     for i, block in enumerate(blocks):
                         if emit_own or not own[i]:
                             out.append((kind, ids[a + k], i, own[i], _digest(block.text), block.text if keep_text else None))
@@ -237,17 +240,32 @@ def _repeated(made: list[list[Block]], site: list[str | None], keys: np.ndarray)
     return flags
 
 
+def main_texts(pages: DataFrame, documents: DataFrame, sites: SiteRegistry, repeated: np.ndarray) -> DataFrame:
+    """(item_kind, item_id, blocks, text): the article's own blocks of every page and document, one a line.
+
+    Null pages and texts have no row; of one without own blocks the text is empty.
+    """
+    made = [spread(rows, key).mapInArrow(_run(kind, key, body, sites, repeated, True, True, True), SCHEMA) for kind, key, body, rows in (("page", "page_id", "raw_html", _pages(pages)), ("document", "doc_id", "text", _documents(documents)))]
+    return made[0].unionByName(made[1]).select("item_kind", "item_id", F.col("block_no").alias("blocks"), F.col("block").alias("text"))
+
+
+def _pages(pages: DataFrame) -> DataFrame:
+    return pages.where("raw_html is not null").select("page_id", "url", "raw_html", F.lit(None).cast("string").alias("title"))
+
+
+def _documents(documents: DataFrame) -> DataFrame:
+    return documents.where("text is not null").select("doc_id", F.col("source_url").alias("url"), "text", "title")
+
+
 def page_body(pages: DataFrame, sites: SiteRegistry, repeated: np.ndarray, keep_text: bool = False, emit_own: bool = True) -> DataFrame:
     """One row per block of a page: block_no, own, block_md5 and, with keep_text, the block.
 
     pages needs page_id, url and raw_html. Null and empty pages, and pages without text, have no rows. ``repeated``
     has the keys of the lines repeated across sites.
     """
-    rows = pages.where("raw_html is not null").select("page_id", "url", "raw_html", F.lit(None).cast("string").alias("title"))
-    return spread(rows, "page_id").mapInArrow(_run("page", "page_id", "raw_html", sites, repeated, keep_text, emit_own), SCHEMA)
+    return spread(_pages(pages), "page_id").mapInArrow(_run("page", "page_id", "raw_html", sites, repeated, keep_text, emit_own), SCHEMA)
 
 
 def document_body(documents: DataFrame, sites: SiteRegistry, repeated: np.ndarray, keep_text: bool = False, emit_own: bool = True) -> DataFrame:
     """As ``page_body`` for the lines of documents (doc_id, source_url, title, text)."""
-    rows = documents.where("text is not null").select("doc_id", F.col("source_url").alias("url"), "text", "title")
-    return spread(rows, "doc_id").mapInArrow(_run("document", "doc_id", "text", sites, repeated, keep_text, emit_own), SCHEMA)
+    return spread(_documents(documents), "doc_id").mapInArrow(_run("document", "doc_id", "text", sites, repeated, keep_text, emit_own), SCHEMA)

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pressmill.llm.history import duplicates
 from pressmill.llm.language import RUNNING_WORDS, fit_model, identify
 from pressmill.llm.leakage import leaked
-from pressmill.llm.mainbody import document_body, page_body
+from pressmill.llm.mainbody import document_body, main_texts, page_body
 from pressmill.llm.packing import document_parts, fill_containers
 from pressmill.llm.readability import reading_levels
-from pressmill.llm.sitelines import find_repeated, repeated_lines
+from pressmill.llm.sitelines import find_repeated, repeated_lines, without_lines
 from pressmill.llm.splitting import items_of, split_items
 from pressmill.llm.tokens import count_tokens, estimate_tokens, fit, load_counter, token_budget
 from pressmill.sources.sites import load_sites
@@ -32,6 +32,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(table(spark, sf_dir, "documents"), sites).select("doc_id", "line_no")
 
 
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without their sites' repeated lines."""
+    sites = load_sites(table(spark, sf_dir, "parser_configs"))
+    documents = table(spark, sf_dir, "documents")
+    return without_lines(documents, sites, find_repeated(documents, sites).collect_keys())
+
+
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language (line_no -1), and every line in another one, with a confidence."""
+    documents = table(spark, sf_dir, "documents")
+    return identify(documents, fit_model(documents))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose label is missing or wrong (line_no -1), and lines of running text in another language."""
     documents = table(spark, sf_dir, "documents")
@@ -50,6 +63,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select("item_kind", "item_id", "block_md5").distinct()
 
 
+def p7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article's own text of every page and document."""
+    sites = load_sites(table(spark, sf_dir, "parser_configs"))
+    documents = table(spark, sf_dir, "documents")
+    return main_texts(table(spark, sf_dir, "raw_pages"), documents, sites, find_repeated(documents, sites).collect_keys())
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -88,15 +108,43 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_containers(document_parts(table(spark, sf_dir, "documents"), load_counter(table(spark, sf_dir, "vocab_pieces"))))
 
 
-_QUERIES = [p2_token_budget, p2_document_tokens, p3_found, p4_found, p5_found, p6_found, p6_pieces, p7_found, p8_containers, p9_found, p10_found]
+_QUERIES = [p2_token_budget, p2_document_tokens, p3_found, p4_found, p4_clean, p5_found, p5_languages, p6_found, p6_pieces, p7_found, p7_main_text, p8_containers, p9_found, p10_found]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _QUERIES}
 
 
+_LINES = """
+    with d as (select doc_id, text, c.domain as site from documents d join parser_configs c on regexp_extract(lower(d.source_url), '://([^/?#:]*)', 1) = c.domain or suffix(regexp_extract(lower(d.source_url), '://([^/?#:]*)', 1), '.' || c.domain)),
+    t as (select site, count(*) as total from d group by site),
+    s as (select doc_id, site, string_split(text, chr(10)) as l from d where text is not null),
+    u as (select doc_id, site, unnest(l) as line, generate_subscripts(l, 1) - 1 as line_no from s),
+    k as (select *, regexp_replace(replace(lower(nfc_normalize(line)), 'ß', 'ss'), '[^\\p{L}]', '', 'g') as key from u),
+    r as (select site, key from k join t using (site) where key <> '' group by site, key, total having count(distinct doc_id) >= 4 and count(distinct doc_id) >= 0.02 * total)"""
+
+
+_TOKENS = r"""
+with recursive w as (select doc_id, unnest(regexp_split_to_array(lower(text), '[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) as word from documents where text is not null),
+v as (select piece, length(piece) as n from vocab_pieces where piece <> ''),
+t(word, p, tokens) as (
+  select distinct word, 1::BIGINT, 0::BIGINT from w where word <> ''
+  union all
+  select word, p + coalesce(max(v.n), 1), tokens + case when max(v.n) is null then octet_length(encode(substr(word, p, 1))) else 1 end
+  from (select word, p, tokens, unnest(range(1, (select max(n) + 1 from v))) as n from t where p <= length(word)) x left join v on v.n = x.n and v.piece = substr(x.word, x.p, x.n)
+  group by word, p, tokens),
+c as (select word, tokens from t where p > length(word))
+select d.doc_id, coalesce(sum(c.tokens), 0)::BIGINT as tokens from documents d left join w using (doc_id) left join c using (word) group by d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_document_tokens": _TOKENS,
+        "p4_found": _LINES + " select doc_id, line_no::INT as line_no from k semi join r using (site, key)",
+        "p4_clean": _LINES + """, m as (select k.*, r.key is not null as gone from k left join r using (site, key)),
+            c as (select doc_id, string_agg(line, chr(10) order by line_no) filter (where not gone) as kept, count(*) filter (where gone) as removed from m group by doc_id)
+            select doc_id, case when text is null then null when c.doc_id is null then text else coalesce(kept, '') end as text, coalesce(removed, 0)::INT as removed from documents left join c using (doc_id)""",
         "p6_found": """
             select 'chunk' as item_kind, chunk_id as item_id from article_chunks where length(content) > 2000
             union all

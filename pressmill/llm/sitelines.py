@@ -142,3 +142,29 @@ def find_repeated(documents: DataFrame, sites: SiteRegistry, min_docs: int = 4,
 def repeated_lines(documents: DataFrame, sites: SiteRegistry, min_docs: int = 4, min_share: float = 0.02) -> DataFrame:
     """(doc_id, line_no, site, line_hash, docs) of the places of ``find_repeated``."""
     return find_repeated(documents, sites, min_docs, min_share).places()
+
+
+def without_lines(documents: DataFrame, sites: SiteRegistry, keys: np.ndarray) -> DataFrame:
+    """(doc_id, text, removed): texts without the lines whose keys are given, and how many lines that were.
+
+    A null text stays null; a text without such lines comes back as it is.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            urls, texts = batch.column("source_url").to_pylist(), batch.column("text").to_pylist()
+            x = letters_of([t or "" for t in texts], chunks=False)
+            site = [sites.of_url(u) for u in urls]
+            gone: dict[int, set[int]] = {}
+            if len(shared.value) and len(x.line_no):
+                key = line_keys([site[d] for d in x.line_doc.tolist()], x.line_hash)
+                hit = shared.value[np.minimum(np.searchsorted(shared.value, key), len(shared.value) - 1)] == key
+                for d, k in zip(x.line_doc[hit].tolist(), x.line_no[hit].tolist()):
+                    gone.setdefault(d, set()).add(k)
+            for d, lines in gone.items():
+                texts[d] = "\n".join(line for k, line in enumerate(texts[d].split("\n")) if k not in lines)
+            removed = [len(gone.get(d, ())) for d in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], ["doc_id", "text", "removed"])
+
+    return spread(documents.select("doc_id", "source_url", "text"), "doc_id").mapInArrow(run, "doc_id long, text string, removed int")

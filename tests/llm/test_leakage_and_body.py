@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from pressmill.llm.leakage import SeedIndex, align, leaked, words_of
-from pressmill.llm.mainbody import Block, document_body, own_blocks, page_blocks, page_body
+from pressmill.llm.mainbody import Block, document_body, main_texts, own_blocks, page_blocks, page_body
 from pressmill.sources.sites import SiteRegistry
 
 RNG = random.Random(11)
@@ -106,3 +106,5 @@ def test_tables(spark):
     found = document_body(docs, SITES, none, keep_text=True).where("item_id = 1 and not own").collect()
     assert sorted(r.block for r in found) == sorted(OTHER)
     assert page_body(pages.limit(0), SITES, none).count() == 0
+    texts = {(r.item_kind, r.item_id): (r.blocks, r.text) for r in main_texts(pages, docs, SITES, none).collect()}
+    assert texts["document", 1] == (4, "\n".join(OWN)) and texts["page", 1] == (2, "\n".join(OWN[:2])) and texts["page", 3] == (0, "") and ("document", 2) not in texts

@@ -189,7 +189,22 @@ def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(T.count_words(F.col("s"))).alias("words"), F.sum(T.estimate_tokens(F.col("s"))).alias("tokens"))
 
 
-@query()
+def _fold_sql(most: int, carried: int) -> str:
+    """The fold over sentences as a reduction with a struct as its state."""
+    words = rf"regexp_extract_all(a.buf, '[^{_WS}]+')"
+    led = f"array_to_string(list_slice({words}, greatest(1, len({words}) - {carried - 1}), len({words})), ' ')"
+    return rf"""
+    with s as (select doc_id, string_split(regexp_replace({strip_sql('text')}, '([.?!])[{_WS}]+([A-Z0-9"''“‘])', '\1' || chr(1) || '\2', 'g'), chr(1)) as l from documents where {strip_sql('text')} <> ''),
+    r as (select doc_id, list_reduce(l, lambda a, x: case when a.has and a.cur + {tokens_sql('x')} > {most}
+        then {{'chunks': list_append(a.chunks, {strip_sql('a.buf')}), 'buf': {led} || ' ' || x, 'has': true, 'cur': {tokens_sql(led)} + {tokens_sql('x')}}}
+        else {{'chunks': a.chunks, 'buf': case when a.has then a.buf || ' ' || x else x end, 'has': true, 'cur': a.cur + {tokens_sql('x')}}} end,
+        {{'chunks': []::VARCHAR[], 'buf': '', 'has': false, 'cur': 0::INT}}) as a from s),
+    c as (select doc_id, list_append(a.chunks, {strip_sql('a.buf')}) as c from r),
+    x as (select doc_id, unnest(c) as content, generate_subscripts(c, 1) - 1 as i from c)
+    select doc_id, i::INT as index, content, length(content)::INT as char_length, {words_sql('content')}::INT as word_count, {tokens_sql('content')} as token_estimate from x"""
+
+
+@query(_fold_sql(512, 37))
 def chunks_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Production chunk size: 512 estimated tokens, 50 of overlap."""
     return chunking.token_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 512, 50)

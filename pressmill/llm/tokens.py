@@ -161,7 +161,7 @@ def site_key(domain: Column, url: Column) -> Column:
 
 def _sampled(part: int, parts: int, rate: float) -> Column:
     """A fixed share ``rate`` of documents; different parts share none."""
-    h = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1))
+    h = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 40) - 1))
     low = (1 << 40) * part // parts
     return (h >= low) & (h < low + int(rate * (1 << 40)))
 
@@ -171,8 +171,9 @@ def fit(documents: DataFrame, counter: PieceCounter, fit_docs: int = FIT_DOCS, h
     total = max(documents.count(), 1)
     rows = []
     for part, bound in ((0, fit_docs), (1, holdout_docs)):
-        some = documents.where("text is not null").where(_sampled(part, 2, min(0.5, bound / total))).select("text", language_key(F.col("lang")).alias("label")).limit(2 * bound)
-        measured = some.select("label", "text", *[c.cast("double").alias(k) for k, c in features(F.col("text")).items()])
+        # about ``bound`` documents by a hash of their key; tokenized where they are, only numbers come to the driver
+        some = documents.where("text is not null").where(_sampled(part, 2, min(0.5, bound / total))).select("doc_id", "text", language_key(F.col("lang")).alias("label"))
+        measured = spread(some, "doc_id").select("label", "text", *[c.cast("double").alias(k) for k, c in features(F.col("text")).items()])
         rows.append(with_language(count_tokens(measured, counter, "label", "text", *NAMES), model, *NAMES, "tokens").toPandas())
     return _regress(*rows)
 

@@ -200,6 +200,8 @@ LINE_LEAD, LINE_LEAD_PER_WORD = 8.0, 0.5
 #: Least share of a line's words that the model knows.
 LINE_KNOWN = 0.3
 RUNNING_WORDS = 5
+#: Words with a small first letter that running text has at least.
+LEAST_SMALL = 3
 
 SCHEMA = "doc_id long, line_no int, lang string, confidence double, label_ok boolean, n_words int"
 
@@ -209,6 +211,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
 
     documents needs doc_id, text and lang. A null or empty text, or one without letters, gives a document row with a
     null language and confidence 0. label_ok tells whether the label names the language found; it is null for lines.
+    n_words is 0 for a line that is a list of names rather than running text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,11 +262,16 @@ def _rows(model: LanguageModel, ids: list, labels: list, texts: list[str]) -> li
         lang = LANGS[main[i]]
         out.append({"doc_id": doc_id, "line_no": -1, "lang": lang, "confidence": _confidence(total[i], main[i], doc_words[i]), "label_ok": label_language(labels[i]) == lang, "n_words": int(doc_words[i])})
     for j in odd:
-        n = int(max(words[j], known[j]))
+        n = int(max(words[j], known[j])) if best[j] == JA or _runs(lines[j]) else 0
         out.append({"doc_id": ids[owner[j]], "line_no": int(j - first[owner[j]]), "lang": LANGS[best[j]], "confidence": _confidence(scores[j], best[j], words[j]), "label_ok": None, "n_words": n})
     return out
 
 
+def _runs(line: str) -> bool:
+    """Whether a line has words that begin small, as a list of names has not; one all in capitals may be text."""
+    return line.isupper() or sum(w[0].islower() for w in WORD.findall(line)) >= LEAST_SMALL
+
+
 def _confidence(scores: np.ndarray, at: int, words: int) -> float:
     """Posterior of a language, with the evidence of many words tempered to that of twenty."""
     x = (scores - scores[at]).astype(np.float64) * min(1.0, 20 / max(int(words), 1))

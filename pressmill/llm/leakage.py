@@ -1,7 +1,8 @@
 """Evaluation passages inside training documents (problem 9).
 
 Passages are cut into word trigrams. Trigrams that stand in many passages say little and are dropped; the rare ones
-are seeds. A document with enough seeds of one passage in reach of each other is aligned with the passage by
+are seeds. Variants of one passage have few rare trigrams: a passage that would be left with less than ``LEAST_RARE`` of
+its trigrams keeps them all. A document with enough seeds of one passage in reach of each other is aligned with the passage by
 Smith-Waterman over words, which bridges changed, missing and added words.
 
 The passages are a stated query set: they are bounded by ``MAX_ITEMS`` and go to every task in blocks of
@@ -29,6 +30,9 @@ BLOCK_ITEMS = 20_000
 GRAM = 3
 #: A trigram in more than this share of the passages (and in more than three) is no seed.
 COMMON_SHARE = 0.05
+#: Least share of a passage's trigrams that must be left, for half the passage with every eighth word changed to show
+#: enough seeds wherever it is cut.
+LEAST_RARE = 0.85
 #: Seeds of one passage that a stretch of a document must show before it is aligned: this many, and this share of its
 #: words. Half a passage with every eighth word changed still shows a quarter.
 MIN_SEEDS, SEED_SHARE = 3, 0.1
@@ -82,6 +86,8 @@ class SeedIndex:
             value, n = np.unique(distinct, return_counts=True)
             common = value[n > max(3, COMMON_SHARE * len(passages))]
             keep = ~np.isin(code, common)
+            left, whole = (np.bincount(x, minlength=len(passages)) for x in (own[keep], own))
+            keep |= (left < LEAST_RARE * whole)[own]
             code, own, pos = code[keep], own[keep], pos[keep]
         return SeedIndex(vocabulary, passages, list(groups.values()), code, own, pos)
 

@@ -65,6 +65,17 @@ def test_words_and_common_trigrams():
     assert not index.search("the same three words".split())
 
 
+def test_variants_of_one_passage_keep_their_seeds():
+    rng = random.Random(12)
+    base = text(60, rng).split()
+    variants = [" ".join(f"own{i}" if k == i else w for k, w in enumerate(base)) for i in range(20)]
+    index = SeedIndex.build(list(enumerate(variants + [text(60, rng) for _ in range(40)])))
+    half = " ".join(variants[7].split()[20:55])
+    for inside in (variants[7], half, changed(variants[7], 8)):
+        found = {i for p, *_ in index.search(f"{text(40, rng)} {inside} {text(40, rng)}".split()) for i in index.item_ids[p]}
+        assert found == set(range(20))
+
+
 SITES = SiteRegistry({"news.example": {"site_name": "News Herald"}})
 OWN = ["The bank opened a new office in the valley on Monday morning", "The bank said that the office will serve all customers of the valley. It opened at noon.", "Outlook", "Nobody knows what comes next, said the mayor of the town. We will see."]
 OTHER = ["Home | Markets | Opinion | Contact", "We use cookies on news.example to remember you.", "By Ann Bell, News Herald staff", "12 reads, 4 shares", "Tags: Alpha Bank, Beta Labs", "You may also like", "Another story about a loan that nobody repaid: Gamma", "reader77: I do not believe a word of it. Really.", "© News Herald. All rights reserved."]

@@ -530,7 +530,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pressmill.streaming.ingest import dedup_to_table
 
     base = f"{shared_dir(spark)}/pressmill-stream-{uuid.uuid4().hex}"
-    keep(base)
+    keep(spark, base)
     pages = table(spark, sf_dir, "raw_pages").select("page_id", "url")
     stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/raw_pages.parquet*")
     dedup_to_table(stream, f"{base}/out", f"{base}/seen", f"{base}/checkpoint").awaitTermination()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -11,23 +13,25 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[str] = []
+_WRITTEN: dict[str, SparkSession] = {}
 _SHIPPED: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    Where the setting is missing (tests on one machine) a folder of this process is used instead.
+    Where it is unset and all runs in one JVM (tests on one machine) a folder of this process is used; on a cluster a
+    missing setting is an error, since no folder of one machine is seen by the others.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    own = os.path.join(tempfile.gettempdir(), f"pressmill-{os.getpid()}")
-    return "file://" + own
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), f"pressmill-{os.getpid()}")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, **options: object) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The written files survive the loss of executors, so nothing before this point is computed again. They are
@@ -35,8 +39,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pressmill-{tag}-{uuid.uuid4().hex}"
-    keep(path)
-    df.write.parquet(path)
+    keep(spark, path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,28 +61,53 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if execution.toRdd().getNumPartitions() * 2 <= cores else df
 
 
-def keep(path: str) -> None:
-    """Note a folder of the shared one for removal when the process ends."""
+def keep(spark: SparkSession, path: str) -> None:
+    """Note a folder of the shared one for removal when the process, or its session, ends."""
     if not _WRITTEN:
         atexit.register(_forget)
-    _WRITTEN.append(path)
+    _WRITTEN[path] = spark
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one."""
+    at, system = _file_system(spark, path)
+    system.delete(at, True)
+    _WRITTEN.pop(path, None)
+
+
+def files_of(spark: SparkSession, path: str, done: bool = False) -> list[str]:
+    """Data files anywhere below a folder, sorted, as URIs; with ``done`` the marks of complete tables instead. None for a missing folder."""
+    at, system = _file_system(spark, path)
+    if not system.exists(at):
+        return []
+    out, listed = [], system.listFiles(at, True)
+    while listed.hasNext():
+        uri = listed.next().getPath().toUri().toString()
+        name = uri.rpartition("/")[2]
+        if (name == "_SUCCESS") if done else not name.startswith(("_", ".")):
+            out.append(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    return sorted(out)
 
 
 def release(df: DataFrame) -> None:
     """Remove the files of a table that ``materialize`` wrote. What still reads it must have run before."""
-    jvm = df.sparkSession._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/pressmill-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            remove(df.sparkSession, folder)
 
 
 def _forget() -> None:
-    import shutil
-
-    for path in _WRITTEN:
-        if path.startswith(("file:", "/")):
-            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+    for path, spark in list(_WRITTEN.items()):
+        try:
+            remove(spark, path)
+        except Exception:  # the session has ended before: what lies on this machine can still go
+            if path.startswith(("file:", "/")):
+                shutil.rmtree(re.sub("^file:/*", "/", path), ignore_errors=True)
 
 
 def ship(spark: SparkSession) -> None:

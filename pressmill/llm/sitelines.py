@@ -168,3 +168,14 @@ def without_lines(documents: DataFrame, sites: SiteRegistry, keys: np.ndarray) -
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], ["doc_id", "text", "removed"])
 
     return spread(documents.select("doc_id", "source_url", "text"), "doc_id").mapInArrow(run, "doc_id long, text string, removed int")
+
+
+def repeated_numbers(texts: list[str], site: list[str | None], keys: np.ndarray) -> np.ndarray:
+    """Numbers, over all the texts, of the lines that are repeated on their sites."""
+    x = letters_of(texts, chunks=False)
+    if not len(keys) or not len(x.line_no):
+        return np.zeros(0, np.int64)
+    key = line_keys([site[d] for d in x.line_doc.tolist()], x.line_hash)
+    hit = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+    offset = np.concatenate(([0], np.cumsum([t.count("\n") + 1 for t in texts])))
+    return (offset[x.line_doc] + x.line_no)[hit]

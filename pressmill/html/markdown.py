@@ -89,6 +89,27 @@ def _render(node: Node | str) -> str:
     return f"\n\n{text.strip()}\n\n" if tag in BLOCK or tag in ("li", "body", "html", "figcaption", "dt", "dd") else text
 
 
+#: Levels of elements rendered one inside the other; what lies deeper comes out as its text.
+DEEPEST = 150
+
+
+def _flattened(node: Node) -> Node:
+    """The element, with what lies deeper than ``DEEPEST`` levels replaced by its text; a copy only where there is such."""
+    level, depth = [node], 0
+    while level and depth < DEEPEST:
+        level, depth = [c for n in level for c in n.elements()], depth + 1
+    if not level:
+        return node
+    copy = node.copy()
+    level = [copy]
+    for _ in range(DEEPEST - 1):
+        level = [c for n in level for c in n.elements()]
+    for n in level:
+        n.children = [n.text(" ")]
+    return copy
+
+
 def to_markdown(node: Node) -> str:
     """Markdown without blank lines, every line stripped."""
+    node = _flattened(node)
     return "\n".join(line.strip() for line in _render(node).split("\n") if line.strip())

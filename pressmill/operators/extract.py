@@ -50,6 +50,14 @@ def cleaned(node: Node, selectors: tuple[str, ...]) -> Node:
     return node
 
 
+def absolute(base: str, link: str | None) -> str:
+    """A link made absolute; one that cannot be read is given back as it is."""
+    try:
+        return urljoin(base, link or "")
+    except ValueError:
+        return link or ""
+
+
 def field_values(root: Node, spec: Field, base_url: str | None = None) -> list[str]:
     """Values of a field: the first selector with an element wins, even if its value turns out empty."""
     for q in spec.chain:
@@ -65,7 +73,7 @@ def field_values(root: Node, spec: Field, base_url: str | None = None) -> list[s
             if name:
                 value = node.get(name.lower()) or ""
                 if name.lower() == "href" and value and base_url:
-                    value = urljoin(base_url, value)
+                    value = absolute(base_url, value)
             elif spec.type == "html":
                 value = node.to_html()
             else:
@@ -104,8 +112,8 @@ def content_of(root: Node, values: list[str], output_format: str) -> str:
     return to_markdown(node) if output_format == "markdown" else " ".join(node.text(" ").split())
 
 
-def follow_links(root: Node, spec: Field | None, domain: str, most: int = 25) -> list[str]:
-    """Links to pages of the same domain, made absolute, each once, at most ``most``."""
+def follow_links(root: Node, spec: Field | None, domain: str, most: int | None = 25, every_domain: bool = False) -> list[str]:
+    """Links to pages of the same domain, or of all with ``every_domain``, made absolute, each once; at most ``most``, or all for null."""
     bare = domain.removeprefix("www.")
     out: dict[str, None] = {}
     for q in spec.chain if spec else ():
@@ -115,12 +123,12 @@ def follow_links(root: Node, spec: Field | None, domain: str, most: int = 25) ->
                 href = f"https://{domain}{href}"
             elif "://" in href:
                 host = href.split("://", 1)[1].split("/", 1)[0].split("?", 1)[0].lower()
-                if host.removeprefix("www.") != bare:
+                if not every_domain and host.removeprefix("www.") != bare:
                     continue
             elif href.startswith(("#", "mailto:", "javascript:", "//")) or not href:
                 continue
             else:
-                href = urljoin(f"https://{domain}/", href)
+                href = absolute(f"https://{domain}/", href)
             out.setdefault(href)
     return list(out)[:most]
 
@@ -144,17 +152,25 @@ _FEED_TYPES = ("application/rss+xml", "application/atom+xml")
 def extract(
     pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "raw_html", configs: dict[str, ParserConfig] | None = None,
     default: ParserConfig | None = GENERIC, parts: tuple[str, ...] = PARTS, output_format: str = "markdown", batch_rows: int = 200,
+    follow_most: int | None = 25, follow_every_domain: bool = False,
 ) -> DataFrame:
     """One row per page: key, url, status, error and the wanted parts.
 
     ``configs`` has configurations by domain; pages of other domains use ``default``, and without one their ``fields``
-    stay null. Null, empty and blank pages come out with status error. Pages with null keys or URLs are kept.
+    stay null. Null, empty and blank pages come out with status error, and so does a page at which anything fails: no page
+    stops a job. Pages with null keys or URLs are kept.
     """
     kind = pages.schema[key].dataType.simpleString()
     schema = f"`key` {kind}, url string, status string, error string" + "".join(f", {p} {_KINDS[p][0]}" for p in parts)
     shared = pages.sparkSession.sparkContext.broadcast(configs or {})
 
     def one(page: str | None, at: str | None) -> dict:
+        try:
+            return parts_of(page, at)
+        except Exception as e:  # whatever a page does, it becomes a row
+            return {"status": "error", "error": f"{type(e).__name__}: {e}"[:300]}
+
+    def parts_of(page: str | None, at: str | None) -> dict:
         row: dict = {"status": "ok", "error": None}
         if not page or not page.strip():
             return row | {"status": "error", "error": "empty page"}
@@ -172,12 +188,12 @@ def extract(
         if "title" in parts and (head := root.find("title")) is not None:
             row["title"] = " ".join(head.content().split()) or None
         if "canonical" in parts:
-            row["canonical"] = next((urljoin(base, n.get("href")) for n in root.walk() if n.tag == "link" and "canonical" in (n.get("rel") or "").lower().split() and n.get("href")), None)
+            row["canonical"] = next((absolute(base, n.get("href")) for n in root.walk() if n.tag == "link" and "canonical" in (n.get("rel") or "").lower().split() and n.get("href")), None)
         if "feeds" in parts:
-            row["feeds"] = [urljoin(base, n.get("href")) for n in root.walk() if n.tag == "link" and (n.get("type") or "").lower() in _FEED_TYPES and n.get("href")]
+            row["feeds"] = [absolute(base, n.get("href")) for n in root.walk() if n.tag == "link" and (n.get("type") or "").lower() in _FEED_TYPES and n.get("href")]
         config = config_for(shared.value, domain) or default
         if config and "links" in parts:
-            row["links"] = follow_links(root, config.field("follow_urls"), domain)
+            row["links"] = follow_links(root, config.field("follow_urls"), domain, follow_most, follow_every_domain)
         if config and "fields" in parts:
             cleaned(root, config.cleanup)
             values = {name: field_values(root, spec, base) for name, spec in config.fields}

@@ -18,13 +18,27 @@ def unseen(urls: DataFrame, seen: DataFrame, url: str = "url", method: str = "md
 
 
 class Frontier:
-    """A queue and a seen set as Parquet tables in a folder. Rows are only appended; a drain moves a cursor."""
+    """A queue and a seen set as Parquet tables in a folder. Rows are only appended; a drain moves a cursor.
+
+    The cursor is kept in the folder, so a frontier opened again goes on where the last one was. Keys queued by an ``add``
+    that did not get as far as marking them are marked when the frontier is opened.
+    """
 
     def __init__(self, spark: SparkSession, path: str, method: str = "md5", secret: str | None = None) -> None:
         self.spark, self.path, self.method, self.secret = spark, path.rstrip("/"), method, secret
-        self.cursor = -1
+        self.cursor = self._read("cursor", self._CURSOR).agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
+        self._mark()
+
+    _SEEN, _QUEUE, _CURSOR = "url_key string", "seq long, url string, url_key string", "seq long"
+
+    def _mark(self) -> None:
+        late = self._read("queue", self._QUEUE).select("url_key").join(self.seen(), "url_key", "left_anti").distinct()
+        if not late.isEmpty():
+            late.write.mode("append").parquet(f"{self.path}/seen")
 
-    _SEEN, _QUEUE = "url_key string", "seq long, url string, url_key string"
+    def _move(self, seq: int) -> None:
+        self.cursor = seq
+        self.spark.range(seq, seq + 1, 1, 1).select(F.col("id").alias("seq")).write.mode("append").parquet(f"{self.path}/cursor")
 
     def _read(self, name: str, schema: str) -> DataFrame:
         jvm = self.spark._jvm
@@ -62,14 +76,16 @@ class Frontier:
         """The next ``n`` URLs in order, or all; later drains begin after them."""
         waiting = self.queue()
         last = (waiting if n is None else waiting.orderBy("seq").limit(n)).agg(F.max("seq")).first()[0]
-        before, self.cursor = self.cursor, self.cursor if last is None else last
+        before = self.cursor
+        if last is not None:
+            self._move(last)
         return self._read("queue", self._QUEUE).where((F.col("seq") > before) & (F.col("seq") <= self.cursor)).orderBy("seq")
 
     def __len__(self) -> int:
         return self.queue().count()
 
     def clear(self) -> None:
-        for name, schema in (("queue", self._QUEUE), ("seen", self._SEEN)):
+        for name, schema in (("queue", self._QUEUE), ("seen", self._SEEN), ("cursor", self._CURSOR)):
             self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.path}/{name}")
         self.cursor = -1
 

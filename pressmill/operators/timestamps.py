@@ -139,15 +139,19 @@ class ZoneTable:
     at: np.ndarray
     offset: np.ndarray
     abbreviations: dict[str, int]
+    #: seconds between which the table holds, and the version of the zone data it was made from
+    span: tuple[int, int] = (-(1 << 62), 1 << 62)
+    version: str = ""
 
     def offset_at(self, utc: np.ndarray) -> np.ndarray:
         return self.offset[np.searchsorted(self.at, utc, "right")]
 
     def to_utc(self, wall: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Instants of wall clocks, and whether there is exactly one."""
+        """Instants of wall clocks, and whether there is exactly one. Outside the table's span there is none."""
         early, late = wall - self.offset_at(wall - 90_000), wall - self.offset_at(wall + 90_000)
         ok_early, ok_late = (u + self.offset_at(u) == wall for u in (early, late))
-        return np.where(ok_early, early, late), (ok_early | ok_late) & ~(ok_early & ok_late & (early != late))
+        inside = (wall >= self.span[0]) & (wall <= self.span[1])
+        return np.where(ok_early, early, late), inside & (ok_early | ok_late) & ~(ok_early & ok_late & (early != late))
 
 
 def zone_version() -> str:
@@ -166,8 +170,12 @@ def zone_version() -> str:
 
 
 @lru_cache(maxsize=512)
-def zone_table(name: str, first: int = 1970, last: int = 2100) -> ZoneTable | None:
-    """Built by bisection from the zone data; null for an unknown zone."""
+def zone_table(name: str, first: int = 1900, last: int = 2200, fine: tuple[int, int] = (1970, 2038)) -> ZoneTable | None:
+    """Built by bisection from the zone data; null for an unknown zone.
+
+    Within ``fine`` offsets that hold for two days are found, before and after it those that hold for ten. Wall clocks
+    before ``first`` or after ``last`` have no instant.
+    """
     try:
         zone = ZoneInfo(name)
     except Exception:  # unknown names raise several kinds
@@ -182,11 +190,11 @@ def zone_table(name: str, first: int = 1970, last: int = 2100) -> ZoneTable | No
             abbreviations[label] = int(local.utcoffset().total_seconds())
         return int(local.utcoffset().total_seconds())
 
-    step = 2 * 86400
-    t = int((datetime(first, 1, 1, tzinfo=timezone.utc) - epoch).total_seconds())
-    end = int((datetime(last, 1, 1, tzinfo=timezone.utc) - epoch).total_seconds())
+    begin, low_fine, high_fine, end = (int((datetime(y, 1, 1, tzinfo=timezone.utc) - epoch).total_seconds()) for y in (first, *fine, last))
+    t = begin
     at, offsets = [], [offset(t)]
     while t < end:
+        step = (2 if low_fine <= t < high_fine else 10) * 86400
         now = offset(t + step)
         if now != offsets[-1]:
             low, high = t, t + step
@@ -196,7 +204,7 @@ def zone_table(name: str, first: int = 1970, last: int = 2100) -> ZoneTable | No
             at.append(high)
             offsets.append(now)
         t += step
-    return ZoneTable(name, np.array(at, np.int64), np.array(offsets, np.int64), abbreviations)
+    return ZoneTable(name, np.array(at, np.int64), np.array(offsets, np.int64), abbreviations, (begin + 86400, end - 86400), zone_version())
 
 
 def days_from_civil(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +227,7 @@ def convert(values: list[str | None], zones: list[str | None], month_first: list
     out, good = np.zeros(n, np.int64), np.zeros(n, bool)
     groups: dict[str, tuple[list[int], list[list[str]]]] = defaultdict(lambda: ([], []))
     for i, value in enumerate(values):
-        if value and len(value) <= 200 and (value := _BRACKET.sub("", value.strip())):
+        if value and (value := _BRACKET.sub("", value.strip())):
             tokens = tokens_of(value)
             rows, parts = groups[mask_of(tokens)]
             rows.append(i)
@@ -310,11 +318,11 @@ def _convert_mask(found: tuple[str, dict[str, int]], parts: list[list[str]], zon
     return utc * 1_000_000 + fraction, ok
 
 
-SCHEMA = "field_name string, rec_id long, utc_us long"
+SCHEMA = "field_name string, rec_id long, utc_us long, zone_version string"
 
 
 def normalize_timestamps(values: DataFrame, sites: SiteRegistry) -> DataFrame:
-    """(field_name, rec_id, utc_us) of the values that denote one instant.
+    """(field_name, rec_id, utc_us, zone_version) of the values that denote one instant; the version is that of the zone data used.
 
     values has field_name, rec_id, value, domain and url; other columns are ignored. The zone and the order of numeric
     dates are those of the site of ``domain``, or of ``url`` where domain is null. Without a site, values that carry
@@ -322,15 +330,16 @@ def normalize_timestamps(values: DataFrame, sites: SiteRegistry) -> DataFrame:
     """
     zones = {s: (v.get("site_timezone"), v.get("og_locale") == "en_US") for s, v in sites.sites.items()}
     tables = {name: t for name in {z for z, _ in zones.values() if z} if (t := zone_table(name))}
+    # the tables made here are the ones all tasks use, whatever zone data their machines have
     shared = values.sparkSession.sparkContext.broadcast((zones, tables, zone_version()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_site, by_zone, _ = shared.value
+        by_site, by_zone, version = shared.value
         for batch in batches:
             domains, urls = batch.column("domain").to_pylist(), batch.column("url").to_pylist()
             at = [by_site.get(sites.of_host(d) if d else sites.of_url(u), (None, False)) for d, u in zip(domains, urls)]
             us, ok = convert(batch.column("value").to_pylist(), [z for z, _ in at], [f for _, f in at], by_zone)
             keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([batch.column("field_name").filter(keep), batch.column("rec_id").cast(pa.int64()).filter(keep), pa.array(us[ok])], ["field_name", "rec_id", "utc_us"])
+            yield pa.RecordBatch.from_arrays([batch.column("field_name").filter(keep), batch.column("rec_id").cast(pa.int64()).filter(keep), pa.array(us[ok]), pa.array([version] * int(ok.sum()), pa.string())], ["field_name", "rec_id", "utc_us", "zone_version"])
 
     return spread(values.select("field_name", "rec_id", "value", "domain", "url").where("value is not null"), "rec_id").mapInArrow(run, SCHEMA)

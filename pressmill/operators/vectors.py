@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 from typing import Protocol
@@ -11,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from pressmill.session import files_of, remove
+
 METRICS = ("cosine", "dot_product", "euclidean")
 #: Query vectors held and broadcast at a time; more are searched in several passes.
 QUERY_SET = 20_000
@@ -174,9 +177,12 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
 class VectorStore:
     """A collection of vectors in a folder: immutable Parquet parts, of which the newest row of an id counts.
 
-    Writes append a part; deletes append tombstones; ``compact`` rewrites the folder's live rows.
+    Writes append a part; deletes append tombstones; ``compact`` rewrites the live rows as one part. A part's name tells
+    its version, so the collection is opened again from its folder; parts without a mark of completion do not count.
     """
 
+    _NAME = re.compile(r"/(part|compact)-(\d{6})-[0-9a-f]+/_SUCCESS$")
+
     SCHEMA = "_id string, text string, vector array<float>, title string, source_url string, domain string, version long, gone boolean"
 
     def __init__(self, spark: SparkSession, path: str, dimension: int, metric: str = "cosine", embedder: Embedder | None = None) -> None:
@@ -185,17 +191,28 @@ class VectorStore:
         self.embedder = embedder or HashingEmbedder(dimension)
         if self.embedder.dimension != dimension:
             raise ValueError("the embedder has another dimension")
-        self._parts: list[str] = []
+        self._parts = self._found()
+
+    def _found(self) -> list[str]:
+        done = sorted((int(m[2]), m[1] == "compact", f.removesuffix("/_SUCCESS")) for f in files_of(self.spark, self.path, done=True) if (m := self._NAME.search(f)))
+        since = max((n for n, compact, _ in done if compact), default=-1)
+        return [f for n, compact, f in done if n > since or (n == since and compact)]
+
+    def _next(self) -> int:
+        return 1 + max((int(re.search(r"/(?:part|compact)-(\d{6})-", p)[1]) for p in self._parts), default=-1)
 
     def _append(self, rows: DataFrame, gone: bool) -> None:
-        path = f"{self.path}/part-{len(self._parts):06d}-{uuid.uuid4().hex[:8]}"
-        rows.withColumn("version", F.lit(len(self._parts)).cast("long")).withColumn("gone", F.lit(gone)).select(*[f.split()[0] for f in self.SCHEMA.split(", ")]).write.parquet(path)
+        version = self._next()
+        path = f"{self.path}/part-{version:06d}-{uuid.uuid4().hex}"
+        rows.withColumn("version", F.lit(version).cast("long")).withColumn("gone", F.lit(gone)).select(*[f.split()[0] for f in self.SCHEMA.split(", ")]).write.parquet(path)
         self._parts.append(path)
 
     def rows(self) -> DataFrame:
+        """Live rows. A collection of one part is read as it is; of several, the newest row of each id is found by its id."""
         if not self._parts:
             return self.spark.createDataFrame([], self.SCHEMA)
-        return latest(self.spark.read.schema(self.SCHEMA).parquet(*self._parts), "_id", "version").where(~F.col("gone"))
+        stored = self.spark.read.schema(self.SCHEMA).parquet(*self._parts)
+        return (stored if len(self._parts) == 1 else latest(stored, "_id", "version")).where(~F.col("gone"))
 
     def upsert(self, documents: DataFrame) -> dict:
         """Documents (id, text, meta with title, source_url, domain) by id; of equal ids one row is kept."""
@@ -229,14 +246,18 @@ class VectorStore:
         return n
 
     def clear(self) -> None:
+        """Remove all rows, for good."""
+        remove(self.spark, self.path)
         self._parts = []
 
     def compact(self) -> None:
-        """Rewrite the live rows as one part."""
-        rows = self.rows()
-        path = f"{self.path}/compact-{uuid.uuid4().hex}"
-        rows.withColumn("version", F.lit(0).cast("long")).write.parquet(path)
+        """Rewrite the live rows as one part; the parts before it are removed afterwards."""
+        version, old = self._next(), self._parts
+        path = f"{self.path}/compact-{version:06d}-{uuid.uuid4().hex}"
+        self.rows().withColumn("version", F.lit(version).cast("long")).write.parquet(path)
         self._parts = [path]
+        for part in old:
+            remove(self.spark, part)
 
 
 def dispatch(store: VectorStore, request: dict, documents: DataFrame | None = None) -> DataFrame | dict:

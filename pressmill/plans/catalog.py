@@ -70,7 +70,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     for df, name, key, url in parts:
         part = df.select(F.lit(name).alias("field_name"), F.col(key).alias("rec_id"), F.col(name).alias("value"), "domain", url.alias("url"))
         values = part if values is None else values.unionByName(part)
-    return normalize_timestamps(values, load_sites(table(spark, sf_dir, "parser_configs")))
+    return normalize_timestamps(values, load_sites(table(spark, sf_dir, "parser_configs"))).drop("zone_version")
 
 
 # ---- scalars
@@ -261,7 +261,9 @@ def article_generic_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def article_site_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields under each site's own configuration, whose cleanup selectors stand in ``parser_configs``."""
-    rows = table(spark, sf_dir, "parser_configs").select("domain", "lang", "cleanup").limit(C.MAX_CONFIGS).collect()
+    rows = table(spark, sf_dir, "parser_configs").select("domain", "lang", "cleanup").limit(C.MAX_CONFIGS + 1).collect()
+    if len(rows) > C.MAX_CONFIGS:
+        raise ValueError(f"more than {C.MAX_CONFIGS} configurations")
     own = {r["domain"]: C.ParserConfig(r["domain"], r["lang"] or "en", fields=C.GENERIC.fields, cleanup=tuple(r["cleanup"] or ())) for r in rows}
     made = extract(table(spark, sf_dir, "raw_pages"), configs=own, parts=("fields",))
     return made.select("page_id", "status", first(F.col("fields.title")).alias("title"), F.char_length(first(F.col("fields.content"))).alias("chars"))
@@ -438,10 +440,9 @@ def config_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    select domain, case when len(coalesce(sitemaps, [])) > 0 then 'sitemap' when len(coalesce(rss_feeds, [])) > 0 then 'rss' else 'links' end as mode,
-      case when len(coalesce(sitemaps, [])) > 0 then '0 */6 * * *' when len(coalesce(rss_feeds, [])) > 0 then '*/15 * * * *' else '*/30 * * * *' end as cron,
-      case when len(coalesce(sitemaps, [])) > 0 then 360 when len(coalesce(rss_feeds, [])) > 0 then 15 else 30 end::INT as period_minutes
-    from parser_configs""")
+    select domain, 'sitemap' as mode, '0 */6 * * *' as cron, 360 as period_minutes from parser_configs where len(sitemaps) > 0
+    union all select domain, 'rss', '*/15 * * * *', 15 from parser_configs where len(rss_feeds) > 0
+    union all select domain, 'links', '*/30 * * * *', 30 from parser_configs where coalesce(len(sitemaps), 0) = 0 and coalesce(len(rss_feeds), 0) = 0""")
 def crawl_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.schedule(table(spark, sf_dir, "parser_configs"))
 

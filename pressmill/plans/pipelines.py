@@ -78,7 +78,7 @@ def scrape_for_retrieval(pages: DataFrame, vectors: VectorStore, frontier: Front
 def linked_pages(start: DataFrame, pages: DataFrame, config: ParserConfig, settings: Settings | None = None) -> DataFrame:
     """The pages that the start pages' links lead to; at most ``follow_urls_max`` links of each start page."""
     settings = settings or Settings.load(pages.sparkSession)
-    links = extract(start, default=config, parts=("links",)).select(F.lit("").alias("domain"), "links")
+    links = extract(start, default=config, parts=("links",), follow_most=None).select(F.lit("").alias("domain"), "links")
     urls = discovery.follow_urls(links, most=settings.follow_urls_max).select("url").distinct()
     return pages.join(urls, "url", "left_semi")
 

@@ -154,14 +154,19 @@ def join_configs(pages: DataFrame, configs: DataFrame, domain: Column) -> DataFr
 
 
 def schedule(configs: DataFrame) -> DataFrame:
-    """When each site is crawled again: every 15 minutes by its feeds, every 6 hours by its sitemaps, else every 30 minutes by links."""
+    """When each site is crawled again, one row per site and mode: every 6 hours by its sitemaps, every 15 minutes by its
+    feeds, and every 30 minutes by links where it has neither.
+
+    A site with sitemaps and feeds has both rows. Arrays that are null or empty count as none.
+    """
     have = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) > 0
-    return configs.select(
-        "domain",
-        F.when(have("sitemaps"), "sitemap").when(have("rss_feeds"), "rss").otherwise("links").alias("mode"),
-        F.when(have("sitemaps"), "0 */6 * * *").when(have("rss_feeds"), "*/15 * * * *").otherwise("*/30 * * * *").alias("cron"),
-        F.when(have("sitemaps"), 360).when(have("rss_feeds"), 15).otherwise(30).alias("period_minutes"),
-    )
+
+    def row(mode: str, cron: str, minutes: int) -> Column:
+        return F.struct(F.lit(mode).alias("mode"), F.lit(cron).alias("cron"), F.lit(minutes).alias("period_minutes"))
+
+    links = F.array(row("links", "*/30 * * * *", 30))
+    both = F.array_compact(F.array(F.when(have("sitemaps"), row("sitemap", "0 */6 * * *", 360)), F.when(have("rss_feeds"), row("rss", "*/15 * * * *", 15))))
+    return configs.select("domain", F.explode(F.when(F.size(both) > 0, both).otherwise(links)).alias("x")).select("domain", "x.*")
 
 
 def read_fixtures(spark: SparkSession, path: str) -> DataFrame:

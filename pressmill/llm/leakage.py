@@ -1,12 +1,12 @@
 """Evaluation passages inside training documents (problem 9).
 
 Passages are cut into word trigrams. Trigrams that stand in many passages say little and are dropped; the rare ones
-are seeds. Variants of one passage have few rare trigrams: a passage that would be left with less than ``LEAST_RARE`` of
-its trigrams keeps them all. A document with enough seeds of one passage in reach of each other is aligned with the passage by
+are seeds. Rare is told over all passages. Variants of one passage have few rare trigrams: a passage that would be left
+with less than ``LEAST_RARE`` of its trigrams keeps them all. A document with enough seeds of one passage in reach of each other is aligned with the passage by
 Smith-Waterman over words, which bridges changed, missing and added words.
 
-The passages are a stated query set: they are bounded by ``MAX_ITEMS`` and go to every task in blocks of
-``BLOCK_ITEMS``. Documents never move: the whole search is one narrow stage.
+The passages are a stated query set: they are bounded by ``MAX_ITEMS`` and go to every task. Documents never move: the
+whole search is one narrow stage.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from pressmill.session import spread
 
 #: Most test items held in memory; more are refused.
 MAX_ITEMS = 200_000
-BLOCK_ITEMS = 20_000
 GRAM = 3
 #: A trigram in more than this share of the passages (and in more than three) is no seed.
 COMMON_SHARE = 0.05
@@ -36,6 +35,8 @@ LEAST_RARE = 0.85
 #: Seeds of one passage that a stretch of a document must show before it is aligned: this many, and this share of its
 #: words. Half a passage with every eighth word changed still shows a quarter.
 MIN_SEEDS, SEED_SHARE = 3, 0.1
+#: Stretches longer than this many passages are aligned in windows of that length which overlap by two passages.
+LONGEST = 6
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of a passage's words that the aligned stretch covers, and of the stretch's words that are equal.
 MIN_COVER, MIN_EQUAL = 0.5, 0.75
@@ -52,7 +53,7 @@ def words_of(text: str) -> list[str]:
 
 @dataclass
 class SeedIndex:
-    """A block of passages: their words as numbers, and their seeds in sorted order."""
+    """Passages: their words as numbers, and their seeds in sorted order."""
 
     vocabulary: dict[str, int]
     passages: list[np.ndarray]
@@ -99,7 +100,7 @@ class SeedIndex:
         low = np.searchsorted(self.seed_codes, codes, "left")
         found = np.flatnonzero((low < len(self.seed_codes)) & (codes >= 0))
         found = found[self.seed_codes[low[found]] == codes[found]]
-        if len(found) < MIN_SEEDS:
+        if not len(found):
             return
         high = np.searchsorted(self.seed_codes, codes[found], "right")
         by: dict[int, list[int]] = defaultdict(list)
@@ -107,7 +108,7 @@ class SeedIndex:
             for p in self.seed_passage[a:b].tolist():
                 by[p].append(at)
         for p, places in by.items():
-            if len(places) >= max(MIN_SEEDS, SEED_SHARE * len(self.passages[p])):
+            if len(places) >= seeds_needed(len(self.passages[p])):
                 yield p, np.array(places)
 
     def search(self, words: list[str]) -> list[tuple[int, float, float]]:
@@ -119,14 +120,21 @@ class SeedIndex:
             passage = self.passages[p]
             best = (0.0, 0.0)
             for a, b in stretches(places, len(passage)):
-                cover, equal = align(passage, ids[max(0, a - len(passage)) : b + len(passage) + GRAM])
-                if equal >= MIN_EQUAL:
-                    best = max(best, (cover, equal))
+                low, high, n = max(0, a - len(passage)), b + len(passage) + GRAM, len(passage)
+                for start in range(low, max(low + 1, high - 2 * n), (LONGEST - 2) * n):
+                    cover, equal = align(passage, ids[start : min(high, start + LONGEST * n)])
+                    if equal >= MIN_EQUAL:
+                        best = max(best, (cover, equal))
             if best[0] >= MIN_COVER:
                 out.append((p, *best))
         return out
 
 
+def seeds_needed(n: int) -> float:
+    """Seeds that a stretch must show for a passage of ``n`` words; of a short one, those its half can have."""
+    return max(1, min(MIN_SEEDS, n // 2 - GRAM + 1), SEED_SHARE * n)
+
+
 def gram_codes(ids: np.ndarray, size: int) -> np.ndarray:
     """Trigrams of word numbers as single numbers; negative where a word is unknown."""
     if len(ids) < GRAM:
@@ -138,7 +146,7 @@ def gram_codes(ids: np.ndarray, size: int) -> np.ndarray:
 def stretches(places: np.ndarray, reach: int) -> list[tuple[int, int]]:
     """Ranges of places no further apart than half a passage is long, with enough seeds each."""
     cut = np.flatnonzero(np.diff(places) > reach / 2) + 1
-    return [(int(x[0]), int(x[-1])) for x in np.split(places, cut) if len(x) >= max(MIN_SEEDS, SEED_SHARE * reach)]
+    return [(int(x[0]), int(x[-1])) for x in np.split(places, cut) if len(x) >= seeds_needed(reach)]
 
 
 def align(passage: np.ndarray, text: np.ndarray) -> tuple[float, float]:
@@ -176,8 +184,7 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     if len(rows) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} test items: split them into several runs")
     every = sorted((r["item_id"], r["passage"]) for r in rows)
-    blocks = [SeedIndex.build(every[k : k + BLOCK_ITEMS]) for k in range(0, len(every), BLOCK_ITEMS)]
-    shared = documents.sparkSession.sparkContext.broadcast(blocks)
+    shared = documents.sparkSession.sparkContext.broadcast(SeedIndex.build(every))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -186,9 +193,8 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
                 found = []
                 for doc_id, text in zip(ids[a:b], texts[a:b]):
                     words = words_of(text)
-                    for block in shared.value:
-                        for p, cover, equal in block.search(words):
-                            found += [(doc_id, item, cover, equal) for item in block.item_ids[p]]
+                    for p, cover, equal in shared.value.search(words):
+                        found += [(doc_id, item, cover, equal) for item in shared.value.item_ids[p]]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["doc_id", "item_id", "cover", "equal"])
 

@@ -2,9 +2,12 @@
 
 Markup is stripped to blocks: runs of text that no tag but an inline one interrupts; of plain documents, the lines.
 Every block weighs its length, unless something speaks against it: it is repeated across its site, names the site,
-is mostly links, or begins like a reader's comment. Sums of weights over sliding windows of blocks rise steeply where
-the article begins (surge) and fall where it ends (dive); the text between them is kept. Inside, what stands between
-headline and first paragraph, tag lists, and lines that lead to other stories are taken out.
+is mostly links, or begins like a reader's comment. Sums of weights over sliding windows of blocks, held against the usual
+paragraph of the same page, rise steeply where the article begins (surge) and fall where it ends (dive); it goes on only
+where they rise again. Inside, what stands between headline and first paragraph is taken out, and lines that begin, up to a
+colon or the like, as lines in many documents of a site do: tag lists and lines that lead to other stories. A heading
+that is the last one on nearly all pages that have it stands over other stories and ends the article. Which beginnings and
+headings these are is counted, not listed.
 """
 
 from __future__ import annotations
@@ -18,37 +21,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from pressmill.llm.lettering import letters_of, slices, small_batches
-from pressmill.llm.sitelines import line_keys
+from pressmill.llm.sitelines import lead_hash, line_keys, Repeated
 from pressmill.session import spread
 from pressmill.sources.sites import SiteRegistry
 
-#: Blocks in a sliding window, the least sum at a surge, and the sum under which the text dives.
-WINDOW, SURGE, DIVE = 3, 40, 1
+#: Blocks in a sliding window; the shares of the page's usual paragraph that a window sums up to at a surge, and under which
+#: the text dives; and the least sum at a surge.
+WINDOW, SURGE_SHARE, DIVE_SHARE, SURGE = 3, 0.6, 0.2, 40
 #: A block this long is a paragraph even without a sentence end.
 PARAGRAPH = 160
 #: Blocks up to this length are searched for the names of all sites, since copies carry the lines of their first site.
 SHORT = 250
-#: Most words of a head over related stories.
-HEAD_WORDS = 6
-
-#: What lines that lead to other stories begin with.
-ALSO = """read also|see also|also read|more on this|related|read more|xem thêm|đọc thêm|cùng chủ đề|tin liên quan|bài liên quan|lea también|ver también|
-más sobre esto|relacionado|leia também|leia mais|veja também|relacionada|relacionado|à lire aussi|lire aussi|voir aussi|sur le même sujet|lesen sie auch|
-siehe auch|mehr zum thema|auch interessant|関連記事|関連|あわせて読みたい|こちらも""".replace("\n", "")
-#: What tag lists begin with.
-TAGS = "tags?|keywords?|topics?|filed under|từ khóa|thẻ|chủ đề|etiquetas?|temas|palavras-chave|tópicos|mots-clés|étiquettes|sujets|schlagwörter|stichwörter|themen|タグ|キーワード"
-#: Heads over lists of other stories.
-HEADS = """you may also like|related stories|related articles|most read|from our partners|more stories|recommended|có thể bạn quan tâm|tin cùng chuyên mục|đọc nhiều|
-tin liên quan|lo más leído|más leídas|te puede interesar|mais lidas|as mais lidas|leia também|les plus lus|à lire aussi|meistgelesen|das könnte sie interessieren|
-よく読まれる記事|関連記事|おすすめ""".replace("\n", "")
-
-_ALSO = re.compile(rf"^\W*(?:{ALSO})\s*[:：»›>—–-]", re.I)
-_ALSO_BARE = re.compile(rf"^\W*(?:{ALSO})\s+\w", re.I)
-_TAGS = re.compile(rf"^\W*(?:{TAGS})\s*[:：]", re.I)
-_HEAD = re.compile(rf"^\W*(?:{HEADS})\W*$", re.I)
+#: Most words and characters of a head over related stories.
+HEAD_WORDS, HEAD_CHARS = 6, 60
+
 _HANDLE = re.compile(r"^\W*[a-z_.]+\d+\s*[:：]\s")
 _END = re.compile(r"[.?!…。！？][\"'”’»)」]*\s*$")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -137,54 +127,72 @@ class SiteNames:
         return any(tuple(words[i : i + n]) in self.names for n in self.sizes for i in range(len(words) - n + 1)) or ("." in folded and any(self.sites.of_host(h) for h in _HOST.findall(folded)))
 
 
-def own_blocks(blocks: list[Block], repeated: list[bool], names: tuple[str, ...], title: str | None, every: SiteNames | None = None) -> list[bool]:
-    """Which blocks are the article's own. ``names`` are those of its site, ``every`` knows the names of all sites."""
+def own_blocks(blocks: list[Block], repeated: list[bool], names: tuple[str, ...], title: str | None, every: SiteNames | None = None, lead: list[bool] | None = None, closing: list[bool] | None = None) -> list[bool]:
+    """Which blocks are the article's own.
+
+    ``names`` are those of its site, ``every`` knows the names of all sites, ``lead`` tells which blocks begin as lines in
+    many documents do, ``closing`` which are headings over other stories.
+    """
     n = len(blocks)
+    lead, closing = lead or [False] * n, closing or [False] * n
     texts = [b.text if b.text.isascii() else unicodedata.normalize("NFC", b.text) for b in blocks]
     folded = [t.casefold() for t in texts]
     headline = unicodedata.normalize("NFC", squeeze(title or "")).casefold()
     data = [is_data(t) for t in texts]
     named = [any(x in folded[i] for x in names) or (every is not None and len(texts[i]) <= SHORT and every.within(folded[i])) for i in range(n)]
-    foreign = [
-        repeated[i] or blocks[i].link > 0.6 or named[i] or bool(_HANDLE.match(texts[i])) or (len(_CUT.findall(texts[i])) > 1 and not data[i]) or bool(_HEAD.match(texts[i]))
-        for i in range(n)
-    ]
+    foreign = [repeated[i] or blocks[i].link > 0.6 or named[i] or bool(_HANDLE.match(texts[i])) or closing[i] or (len(_CUT.findall(texts[i])) > 1 and not data[i]) for i in range(n)]
     heading = [blocks[i].tag == "h1" or (headline != "" and folded[i] == headline) for i in range(n)]
     weight = [0 if (foreign[i] or data[i]) and not heading[i] else _width(texts[i]) for i in range(n)]
+    paragraph = [weight[i] > 0 and is_paragraph(texts[i]) for i in range(n)]
+    usual = sorted(weight[i] for i in range(n) if paragraph[i])
+    usual = usual[len(usual) // 2] if usual else 0
+    surge, dive = max(SURGE, SURGE_SHARE * usual), DIVE_SHARE * usual
+    mass = [weight[i] if paragraph[i] else 0 for i in range(n)]
+    window = [sum(mass[i : i + WINDOW]) for i in range(n)]
     # surge: the first weighty block whose window rises over the threshold
     begin = next((i for i in range(n) if heading[i]), None)
     if begin is None:
-        begin = next((i for i in range(n) if weight[i] >= SURGE or (weight[i] and is_paragraph(texts[i]) and sum(weight[i : i + WINDOW]) >= SURGE)), None)
+        begin = next((i for i in range(n) if weight[i] >= SURGE and window[i] >= surge or (paragraph[i] and window[i] >= surge)), None)
+    if begin is None:
+        begin = next((i for i in range(n) if weight[i] >= SURGE), None)
     if begin is None:
         return [not f for f in foreign]
     if not heading[begin]:  # a headline may be too short for a surge
-        begin = next((i for i in range(begin) if weight[i] and (len(texts[i].split()) >= 4 or _width(texts[i]) >= SURGE // 2)), begin)
-    first = next((i for i in range(begin + 1, n) if weight[i] and is_paragraph(texts[i])), n)
-    # a head over related stories ends the article; a repeated short line before a paragraph is a subhead
+        begin = next((i for i in range(begin) if weight[i] and (len(texts[i].split()) >= 4 or _width(texts[i]) >= SURGE // 2) and not paragraph[i]), begin)
+    first = next((i for i in range(begin + 1, n) if paragraph[i]), n)
+    # a repeated head over other stories ends the article; a repeated short line before a paragraph is a subhead
     stop = n
     for i in range(first + 1, n):
-        short = len(texts[i].split()) <= HEAD_WORDS and len(texts[i]) <= 60 and not _END.search(texts[i]) and not _CUT.search(texts[i])
+        short = len(texts[i].split()) <= HEAD_WORDS and len(texts[i]) <= HEAD_CHARS and not _END.search(texts[i]) and not _CUT.search(texts[i])
         if not short or any(c in ",:：" or c.isdigit() for c in texts[i]) or named[i]:
             continue
-        if _HEAD.match(texts[i]) or (repeated[i] and not (i + 1 < n and weight[i + 1] and is_paragraph(texts[i + 1]))):
+        if closing[i] or (repeated[i] and not (i + 1 < n and paragraph[i + 1])):
             stop = i
             break
         weight[i] = _width(texts[i])
-    # dive: the last weighty paragraph before
-    end = max([begin, *(i for i in range(first, stop) if weight[i] >= DIVE and is_paragraph(texts[i]))])
-    marked = sum(bool(_END.search(texts[i])) for i in range(first, end + 1) if weight[i])
-    plain = sum(weight[i] >= PARAGRAPH and not _END.search(texts[i]) for i in range(first, end + 1))
-    unpunctuated = plain > marked
+    # dive: the window falls; after it the article goes on only from a new surge
     own = [False] * n
+    end, fallen = begin, False
+    gap: list[int] = []
+    for i in range(first, stop):
+        if fallen:
+            if not (paragraph[i] and window[i] >= surge):
+                gap.append(i)
+                continue
+            fallen = False
+        if paragraph[i]:
+            end = i
+        elif sum(weight[i : i + WINDOW]) < dive or not any(mass[i:stop]):
+            fallen = True
+            gap.append(i)
+    skipped = set(gap)
     for i in range(begin, end + 1):
         if heading[i] and i == begin:
             own[i] = True
         elif not weight[i] or begin < i < first:
             own[i] = bool(weight[i]) and len(texts[i]) >= PARAGRAPH
-        elif _ALSO.match(texts[i]) or _TAGS.match(texts[i]) or (unpunctuated and _ALSO_BARE.match(texts[i]) and len(texts[i]) < 250):
-            own[i] = False
         else:
-            own[i] = True
+            own[i] = i not in skipped and (not lead[i] or bool(_END.search(texts[i])))
     own[begin] = True
     for i in range(begin, stop):
         own[i] = own[i] or (data[i] and not foreign[i])
@@ -198,8 +206,9 @@ def _digest(text: str) -> str:
 SCHEMA = "item_kind string, item_id long, block_no int, own boolean, block_md5 string, block string"
 
 
-def _run(kind: str, id_name: str, body: str, sites: SiteRegistry, keys: np.ndarray, keep_text: bool, emit_own: bool, whole: bool = False):
+def _run(kind: str, id_name: str, body: str, sites: SiteRegistry, keys: Repeated, keep_text: bool, emit_own: bool, whole: bool = False):
     every = SiteNames(sites)
+    leads, heads = frozenset(keys.leads.tolist()), frozenset(keys.heads.tolist())
     words = {s: tuple(x for x in ((v.get("site_name") or "").casefold(), s) if x) for s, v in sites.sites.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,10 +218,10 @@ def _run(kind: str, id_name: str, body: str, sites: SiteRegistry, keys: np.ndarr
             for a, b in slices([len(t) for t in texts]):
                 made = [page_blocks(t) if kind == "page" else [Block(s) for line in t.split("\n") if (s := squeeze(line))] for t in texts[a:b]]
                 site = [sites.of_url(u) for u in urls[a:b]]
-                flags = _repeated(made, site, keys)
+                flags = _repeated(made, site, keys.lines)
                 out: list[tuple] = []
                 for k, blocks in enumerate(made):
-                    own = own_blocks(blocks, flags[k], words.get(site[k], ()), titles[a + k], every)
+                    own = own_blocks(blocks, flags[k], words.get(site[k], ()), titles[a + k], every, [lead_hash(b.text) in leads for b in blocks], [len(b.text) <= HEAD_CHARS and head_hash(b.text) in heads for b in blocks])
                     if whole:
                         out.append((kind, ids[a + k], sum(own), True, None, "\n".join(b.text for b, o in zip(blocks, own) if o)))
                         continue
@@ -240,7 +249,7 @@ def _repeated(made: list[list[Block]], site: list[str | None], keys: np.ndarray)
     return flags
 
 
-def main_texts(pages: DataFrame, documents: DataFrame, sites: SiteRegistry, repeated: np.ndarray) -> DataFrame:
+def main_texts(pages: DataFrame, documents: DataFrame, sites: SiteRegistry, repeated: Repeated) -> DataFrame:
     """(item_kind, item_id, blocks, text): the article's own blocks of every page and document, one a line.
 
     Null pages and texts have no row; of one without own blocks the text is empty.
@@ -249,6 +258,32 @@ def main_texts(pages: DataFrame, documents: DataFrame, sites: SiteRegistry, repe
     return made[0].unionByName(made[1]).select("item_kind", "item_id", F.col("block_no").alias("blocks"), F.col("block").alias("text"))
 
 
+def head_hash(text: str) -> int:
+    """The hash of a heading without case, digits and signs."""
+    return xxhash.xxh64_intdigest(" ".join(_LETTERS.findall(unicodedata.normalize("NFC", text).casefold()))) - (1 << 63)
+
+
+def closing_heads(pages: DataFrame, least: int = 4, share: float = 0.001, last: float = 0.9) -> np.ndarray:
+    """Sorted hashes of the headings that are the last of a page on a share ``last`` of the pages that have them.
+
+    Only headings of ``least`` pages and of a share ``share`` of all pages count, so there are at most (headings of a page /
+    share) of them. pages needs page_id and raw_html; null and empty pages have no headings.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "raw_html"):
+            found: list[tuple[int, bool]] = []
+            for page in batch.column("raw_html").to_pylist():
+                heads = [b.text for b in page_blocks(page) if b.tag in ("h2", "h3", "h4", "h5", "h6") and len(b.text) <= HEAD_CHARS]
+                at = {head_hash(t): k == len(heads) - 1 for k, t in enumerate(heads)}
+                found += at.items()
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.bool_())], ["head", "closes"])
+
+    rows = spread(_pages(pages), "page_id").mapInArrow(run, "head long, closes boolean").groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.count_if("closes").alias("k"))
+    bound = max(least, int(share * pages.count()))
+    return np.sort(rows.where((F.col("n") >= bound) & (F.col("k") >= last * F.col("n"))).select("head").toPandas()["head"].to_numpy(np.int64))
+
+
 def _pages(pages: DataFrame) -> DataFrame:
     return pages.where("raw_html is not null").select("page_id", "url", "raw_html", F.lit(None).cast("string").alias("title"))
 
@@ -257,7 +292,7 @@ def _documents(documents: DataFrame) -> DataFrame:
     return documents.where("text is not null").select("doc_id", F.col("source_url").alias("url"), "text", "title")
 
 
-def page_body(pages: DataFrame, sites: SiteRegistry, repeated: np.ndarray, keep_text: bool = False, emit_own: bool = True) -> DataFrame:
+def page_body(pages: DataFrame, sites: SiteRegistry, repeated: Repeated, keep_text: bool = False, emit_own: bool = True) -> DataFrame:
     """One row per block of a page: block_no, own, block_md5 and, with keep_text, the block.
 
     pages needs page_id, url and raw_html. Null and empty pages, and pages without text, have no rows. ``repeated``
@@ -266,6 +301,6 @@ def page_body(pages: DataFrame, sites: SiteRegistry, repeated: np.ndarray, keep_
     return spread(_pages(pages), "page_id").mapInArrow(_run("page", "page_id", "raw_html", sites, repeated, keep_text, emit_own), SCHEMA)
 
 
-def document_body(documents: DataFrame, sites: SiteRegistry, repeated: np.ndarray, keep_text: bool = False, emit_own: bool = True) -> DataFrame:
+def document_body(documents: DataFrame, sites: SiteRegistry, repeated: Repeated, keep_text: bool = False, emit_own: bool = True) -> DataFrame:
     """As ``page_body`` for the lines of documents (doc_id, source_url, title, text)."""
     return spread(_documents(documents), "doc_id").mapInArrow(_run("document", "doc_id", "text", sites, repeated, keep_text, emit_own), SCHEMA)

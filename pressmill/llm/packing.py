@@ -2,9 +2,10 @@
 
 Documents are counted exactly; one larger than a container is first cut into parts at word ends, inside a word only
 where the word alone is too large. Parts are dealt by hash to shards of about ``SHARD_ITEMS`` and every shard is
-packed on its own, largest first: into the open container with the least sufficient room, or else into a new one of
-the permitted length that costs least for what it can be expected to hold. In the end every container shrinks to the
-least permitted length that holds its content. A shard's waste is a few containers whatever its size, so sharding
+packed on its own, largest first: into the open container with the least sufficient room, or else into a new one. All
+permitted lengths are weighed for that one together: each is filled, on trial, with the largest items still to come that
+fit, and the length that costs least for each token it would hold is opened. A long container is worth its price only if
+its room can be filled. In the end every container shrinks to the least permitted length that holds its content. A shard's waste is a few containers whatever its size, so sharding
 costs next to nothing, and no task ever holds more than a shard of numbers.
 """
 
@@ -24,8 +25,9 @@ from pressmill.session import materialize, spread
 CAPACITY = 2048
 #: Permitted lengths of a container; the greatest is the capacity.
 LENGTHS = (256, 512, 1024, CAPACITY)
-#: Price of opening a container, in tokens.
-OPENING = 4
+#: Price of opening a container, in tokens, and of every token of its length that is to be attended by all others: a
+#: container costs OPENING + length * (1 + length / ATTENDED).
+OPENING, ATTENDED = 4, 2_000_000
 SHARD_ITEMS = 50_000
 
 _WORD = re.compile(r"\S+")
@@ -81,11 +83,36 @@ def document_parts(documents: DataFrame, counter: PieceCounter, capacity: int =
     return spread(documents.where("text is not null").select("doc_id", "text"), "doc_id").mapInArrow(run, PARTS)
 
 
+def _expected(size: int, length: int, left: int, counts: np.ndarray) -> int:
+    """Tokens in a container of a length opened for an item, filled with the largest items left that fit; bit s of left: some item of size s is left."""
+    room, taken = length - size, {}
+    while room:
+        fits = left & ((2 << room) - 1)
+        while fits:
+            s = fits.bit_length() - 1
+            n = min(room // s, int(counts[s]) - taken.get(s, 0))
+            if n:
+                break
+            fits &= ~(1 << s)
+        else:
+            break
+        taken[s] = taken.get(s, 0) + n
+        room -= n * s
+    return length - room
+
+
+def _price(length: int) -> float:
+    return OPENING + length * (1 + length / ATTENDED)
+
+
 def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS) -> tuple[np.ndarray, np.ndarray]:
     """Container of each item, and the length of each container. Every size must be within the greatest length."""
     lengths = tuple(sorted(lengths))
     order = np.argsort(-sizes, kind="stable")
-    rest = int(sizes.sum())
+    counts = np.bincount(sizes, minlength=lengths[-1] + 1)  # items left by size
+    left = 0
+    for s in np.flatnonzero(counts).tolist():
+        left |= 1 << s
     bins: list[int] = []  # length, then room left
     room: list[int] = []
     by_room: dict[int, list[int]] = {}
@@ -93,7 +120,9 @@ def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS) -> tuple[np.ndar
     out = np.empty(len(sizes), np.int64)
     for i in order.tolist():
         size = int(sizes[i])
-        rest -= size
+        counts[size] -= 1
+        if not counts[size]:
+            left &= ~(1 << size)
         fitting = present >> size
         if fitting:
             r = size + (fitting & -fitting).bit_length() - 1
@@ -101,7 +130,7 @@ def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS) -> tuple[np.ndar
             if not by_room[r]:
                 present &= ~(1 << r)
         else:
-            length = min((x for x in lengths if x >= size), key=lambda x: ((x + OPENING) / min(x, size + rest), -x))
+            length = min((x for x in lengths if x >= size), key=lambda x: (_price(x) / _expected(size, x, left, counts), x))
             at = len(bins)
             bins.append(length)
             room.append(length)

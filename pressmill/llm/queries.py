@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressmill.llm.history import duplicates
 from pressmill.llm.language import RUNNING_WORDS, fit_model, identify
 from pressmill.llm.leakage import leaked
-from pressmill.llm.mainbody import document_body, main_texts, page_body
+from pressmill.llm.mainbody import closing_heads, document_body, main_texts, page_body
 from pressmill.llm.packing import document_parts, fill_containers
 from pressmill.llm.readability import reading_levels
-from pressmill.llm.sitelines import find_repeated, repeated_lines, without_lines
+from pressmill.llm.sitelines import find_repeated, Repeated, repeated_lines, without_lines
 from pressmill.llm.splitting import items_of, split_items
 from pressmill.llm.tokens import count_tokens, estimate_tokens, fit, load_counter, token_budget
 from pressmill.sources.sites import load_sites
@@ -54,20 +55,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(wrong | foreign).select("doc_id", "line_no", "lang")
 
 
+def _page_noise(spark: SparkSession, sf_dir: str) -> Repeated:
+    """What is told of the rest of a page by counting: lines and leads repeated on a site, and headings over other stories."""
+    found = find_repeated(table(spark, sf_dir, "documents"), load_sites(table(spark, sf_dir, "parser_configs"))).collect()
+    return replace(found, heads=closing_heads(table(spark, sf_dir, "raw_pages")))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of pages and documents that are not the article's own."""
-    sites = load_sites(table(spark, sf_dir, "parser_configs"))
-    documents = table(spark, sf_dir, "documents")
-    keys = find_repeated(documents, sites).collect_keys()
-    blocks = page_body(table(spark, sf_dir, "raw_pages"), sites, keys, emit_own=False).unionByName(document_body(documents, sites, keys, emit_own=False))
+    sites, noise = load_sites(table(spark, sf_dir, "parser_configs")), _page_noise(spark, sf_dir)
+    blocks = page_body(table(spark, sf_dir, "raw_pages"), sites, noise, emit_own=False).unionByName(document_body(table(spark, sf_dir, "documents"), sites, noise, emit_own=False))
     return blocks.select("item_kind", "item_id", "block_md5").distinct()
 
 
 def p7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article's own text of every page and document."""
     sites = load_sites(table(spark, sf_dir, "parser_configs"))
-    documents = table(spark, sf_dir, "documents")
-    return main_texts(table(spark, sf_dir, "raw_pages"), documents, sites, find_repeated(documents, sites).collect_keys())
+    return main_texts(table(spark, sf_dir, "raw_pages"), table(spark, sf_dir, "documents"), sites, _page_noise(spark, sf_dir))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

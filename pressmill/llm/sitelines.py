@@ -1,7 +1,8 @@
 """Lines repeated across the documents of one site (problem 4).
 
 Each text becomes a stream of folded letters. A rolling hash over twelve letters cuts the stream into
-content-defined chunks; a line end also ends a chunk, so that a chunk depends on its own line alone. Documents are
+content-defined chunks; a line end also ends a chunk, so that a chunk depends on its own line alone. What a line begins
+with, up to a colon or the like, is one more chunk. Documents are
 counted per site and chunk. Chunks that stand in enough documents of a site are its repeated chunks; a line that
 begins and ends with one is a candidate, and candidates are then checked by the hash of the whole line.
 
@@ -11,8 +12,11 @@ so there are at most (chunks per document / min_share) of them, whatever the siz
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,34 @@ BROADCAST_ROWS = 400_000
 #: Most repeated lines held in memory by operators that drop them.
 MAX_KEYS = 3_000_000
 
+#: What a line begins with, up to a mark that leads over to something else: at most five words.
+_LEAD = re.compile(r"^\W*((?:[^\W\d_]+[ '’-]+){0,4}[^\W\d_]+)\s*(?:[:：»›>]|[—–]\s|-\s)\s*\w")
+
+
+def lead_hash(line: str) -> int | None:
+    """The hash of a line's lead without case; null for a line without one."""
+    m = _LEAD.match(line)
+    return _lead_key(unicodedata.normalize("NFC", m.group(1)).casefold()) if m else None
+
+
+#: The low byte of all hashes of leads, by which they are told from chunks.
+LEAD_MARK = 0xA5
+
+
+@lru_cache(maxsize=50_000)
+def _lead_key(lead: str) -> int:
+    return ((xxhash.xxh64_intdigest(lead) & ~0xFF) | LEAD_MARK) - (1 << 63)
+
+
+@dataclass
+class Repeated:
+    """Sorted keys of repeated lines (see ``line_keys``), hashes of the leads repeated on any site, and of headings over other stories."""
+
+    lines: np.ndarray
+    leads: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    heads: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+
 LINES_SCHEMA = "doc_id long, site string, line_no int, line_hash long, line_first boolean, head long, tail long, fresh array<long>"
 
 
@@ -59,6 +91,10 @@ def line_table(documents: DataFrame, sites: SiteRegistry) -> DataFrame:
                 fresh_start = np.concatenate(([0], np.cumsum(fresh)))[x.chunk_start]
                 pad = np.full(b - a, 0, np.int32)
                 rows = np.concatenate((x.line_doc, np.arange(b - a)))
+                # a document's own row has the leads of its lines
+                lead = [{h for line in t.split("\n") if (h := lead_hash(line)) is not None} for t in texts[a:b]]
+                ends = fresh_start[-1] + np.cumsum([len(h) for h in lead])
+                values = np.concatenate((x.chunk_hash[fresh].astype(np.int64), np.array([v for h in lead for v in h], np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[a:b][rows], pa.int64()),
@@ -68,7 +104,7 @@ def line_table(documents: DataFrame, sites: SiteRegistry) -> DataFrame:
                         pa.array(np.concatenate((_first_of_doc(x.line_doc, x.line_hash), pad.astype(bool)))),
                         pa.array(np.concatenate((x.chunk_hash[x.chunk_start[:-1]].astype(np.int64), pad))),
                         pa.array(np.concatenate((x.chunk_hash[x.chunk_start[1:] - 1].astype(np.int64), pad))),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate((fresh_start, pad + fresh_start[-1])).astype(np.int32)), pa.array(x.chunk_hash[fresh].astype(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate((fresh_start, ends)).astype(np.int32)), pa.array(values)),
                     ],
                     ["doc_id", "site", "line_no", "line_hash", "line_first", "head", "tail", "fresh"],
                 )
@@ -92,6 +128,7 @@ class RepeatedLines:
     hashes: DataFrame
     small: bool
     written: DataFrame
+    chunks: DataFrame
 
     def places(self) -> DataFrame:
         return self.candidates.join(F.broadcast(self.hashes) if self.small else self.hashes, ["site", "line_hash"])
@@ -110,6 +147,14 @@ class RepeatedLines:
         return np.unique(line_keys(rows["site"].tolist(), hashes))
 
 
+    def collect(self) -> Repeated:
+        """Keys of the repeated lines, and the leads that are repeated on any site; bounded like the lines."""
+        rows = self.chunks.where(F.col("chunk").bitwiseAND(F.lit(0xFF)) == LEAD_MARK).select("chunk").distinct().limit(MAX_KEYS + 1).toPandas()
+        if len(rows) > MAX_KEYS:
+            raise ValueError(f"more than {MAX_KEYS} repeated leads")
+        return Repeated(self.collect_keys(), np.unique(rows["chunk"].to_numpy(np.int64)))
+
+
 def line_keys(sites: list[str | None], hashes: np.ndarray) -> np.ndarray:
     """One number for a site and a line hash."""
     seed = {s: xxhash.xxh64_intdigest(s or "") for s in set(sites)}
@@ -136,7 +181,7 @@ def find_repeated(documents: DataFrame, sites: SiteRegistry, min_docs: int = 4,
     candidates = lines.select("doc_id", "site", "line_no", "line_hash", "line_first")
     whole = candidates.groupBy("site", "line_hash").agg(F.count_if("line_first").alias("docs"))
     kept, small = _frequent(whole, totals, min_docs, min_share, "wholelines")
-    return RepeatedLines(candidates.drop("line_first"), kept, small, written)
+    return RepeatedLines(candidates.drop("line_first"), kept, small, written, frequent)
 
 
 def repeated_lines(documents: DataFrame, sites: SiteRegistry, min_docs: int = 4, min_share: float = 0.02) -> DataFrame:

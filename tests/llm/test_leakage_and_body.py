@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from pressmill.llm.leakage import SeedIndex, align, leaked, words_of
-from pressmill.llm.mainbody import Block, document_body, main_texts, own_blocks, page_blocks, page_body
+from pressmill.llm.sitelines import find_repeated, lead_hash, Repeated
+from pressmill.llm.mainbody import Block, closing_heads, document_body, main_texts, own_blocks, page_blocks, page_body
 from pressmill.sources.sites import SiteRegistry
 
 RNG = random.Random(11)
@@ -109,7 +110,7 @@ def test_broken_pages_do_no_harm(page):
 
 
 def test_tables(spark):
-    none = np.zeros(0, np.uint64)
+    none = Repeated(np.zeros(0, np.uint64))
     pages = spark.createDataFrame([(1, "https://news.example/a", f"<body><h1>{OWN[0]}</h1><p>{OWN[1]}</p><p>© News Herald</p>"), (2, None, None), (3, "u", ""), (None, None, "<p>x</p>" * 20000)], "page_id long, url string, raw_html string").selectExpr("*", "'t' as title", "1 as block")
     rows = page_body(pages, SITES, none, keep_text=True).collect()
     assert [r.block for r in rows if r.item_id == 1 and not r.own] == ["© News Herald"]
@@ -119,3 +120,27 @@ def test_tables(spark):
     assert page_body(pages.limit(0), SITES, none).count() == 0
     texts = {(r.item_kind, r.item_id): (r.blocks, r.text) for r in main_texts(pages, docs, SITES, none).collect()}
     assert texts["document", 1] == (4, "\n".join(OWN)) and texts["page", 1] == (2, "\n".join(OWN[:2])) and texts["page", 3] == (0, "") and ("document", 2) not in texts
+
+
+PARAGRAPH = "The council agreed on a new plan for the river road, after long talks with neighbours who had asked for a bridge since the floods. "
+
+
+def test_notices_that_stand_once_are_outside_surge_and_dive():
+    blocks = [Block("We use cookies to make this page work better for you."), *(Block(t, link=1) for t in ("Home", "News", "Sport")), Block(PARAGRAPH * 2), Block(PARAGRAPH * 3)]
+    blocks += [*(Block(t, link=1) for t in ("12", "Next", "Top")), Block("This page was made with care in our small office by the sea.")]
+    assert own_blocks(blocks, [False] * len(blocks), (), None) == [False] * 4 + [True] * 2 + [False] * 4
+    # an advertisement between paragraphs does not end the text
+    blocks = [Block(PARAGRAPH * 2), *(Block(t, link=1) for t in "abc"), Block(PARAGRAPH * 2), Block(PARAGRAPH)]
+    assert own_blocks(blocks, [False] * 6, (), None) == [True] + [False] * 3 + [True] * 2
+
+
+def test_leads_and_closing_heads_are_counted(spark):
+    rows = [(i, "https://news.example/", f"{PARAGRAPH}{i} more words.\nTuhle quor: Story {'abcdefgh'[i]} of the day\nSay: once {i}" if i != 3 else PARAGRAPH) for i in range(8)]
+    documents = spark.createDataFrame(rows, "doc_id long, source_url string, text string")
+    found = find_repeated(documents, SITES).collect()
+    assert lead_hash("tuhle QUOR: other") in found.leads.tolist() and lead_hash("Nothing: here") not in found.leads.tolist()
+    pages = [(i, "https://news.example/", f"<h1>T</h1><p>{PARAGRAPH}</p><h2>Why {i}</h2><p>{PARAGRAPH}</p><h2>Next</h2><p>{PARAGRAPH}</p><h3>Zonk lim</h3><p>Teaser.</p>") for i in range(5)] + [(9, None, None), (10, None, "")]
+    heads = closing_heads(spark.createDataFrame(pages, "page_id long, url string, raw_html string"))
+    assert len(heads) == 1
+    page = page_body(spark.createDataFrame(pages, "page_id long, url string, raw_html string"), SITES, Repeated(np.zeros(0, np.uint64), heads=heads), keep_text=True)
+    assert {r.block for r in page.where("item_id = 1 and not own").collect()} == {"Zonk lim", "Teaser."}

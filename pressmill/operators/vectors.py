@@ -245,6 +245,10 @@ class VectorStore:
             self._append(found, True)
         return n
 
+    def remove_rows(self, keys: DataFrame) -> None:
+        """Remove the ids (_id) of a table of any size."""
+        self._append(self.rows().join(keys.select("_id").distinct(), "_id", "left_semi"), True)
+
     def clear(self) -> None:
         """Remove all rows, for good."""
         remove(self.spark, self.path)

@@ -15,7 +15,7 @@ from pressmill.functions import ids, text as T, urls as U
 from pressmill.operators import articles, chunking, discovery, frontier, metadata, results, vectors
 from pressmill.operators.extract import extract, first, selector_report
 from pressmill.operators.timestamps import normalize_timestamps
-from pressmill.session import shared_dir
+from pressmill.session import keep, shared_dir
 from pressmill.sources import configs as C
 from pressmill.sources.sites import load_sites
 from pressmill.sources.tables import table
@@ -527,7 +527,6 @@ def retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select md5(url) as url_key, url from raw_pages where url is not null group by url")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as a stream; each URL comes out once."""
-    from pressmill.session import keep
     from pressmill.streaming.ingest import dedup_to_table
 
     base = f"{shared_dir(spark)}/pressmill-stream-{uuid.uuid4().hex}"
@@ -538,6 +537,94 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").select("url_key", "url")
 
 
+# ---- selectors, each held against what it must give on a fixed page
+
+_PAGE = """<html lang="en"><head><title>Site</title><link rel="canonical" href="http://[broken"></head><body>
+<header><h1>Old mill runs again</h1></header>
+<div class="meta"><time datetime="2023-05-06T07:08:09Z">6 May</time><span class="by"><a rel="author" href="/who/ann">Ann Reed</a> and <a rel="author" href="/who/bo">Bo Lind</a></span></div>
+<article class="story body"><p class="lede key">First paragraph.</p><p>Second <b>one</b>.</p><p class="last">Third.</p><script>var a = 1;</script></article>
+<ul class="tags"><li>mills</li><li>rivers</li><li></li></ul><aside class="more"><a href="/x">Other</a></aside><a class="odd" href="http://[bad">odd</a></body></html>"""
+_CASES: list[tuple[str, C.Field, list[str]]] = [
+    ("css text", C.Field((C.Query("header h1", "css"),)), ["Old mill runs again"]),
+    ("css attribute", C.Field((C.Query("time", "css", "datetime"),)), ["2023-05-06T07:08:09Z"]),
+    ("css all", C.Field((C.Query(".tags li", "css"),), all=True), ["mills", "rivers"]),
+    ("css html", C.Field((C.Query("p.last", "css"),), type="html"), ['<p class="last">Third.</p>']),
+    ("xpath attribute", C.Field((C.Query("//time", "xpath", "datetime"),)), ["2023-05-06T07:08:09Z"]),
+    ("xpath position", C.Field((C.Query("//article/p[2]", "xpath"),)), ["Second one."]),
+    ("xpath equal, all", C.Field((C.Query("//a[@rel='author']", "xpath"),), all=True), ["Ann Reed", "Bo Lind"]),
+    ("xpath contains", C.Field((C.Query("//p[contains(@class, 'key')]", "xpath"),)), ["First paragraph."]),
+    ("xpath attribute node is no match", C.Field((C.Query("//time/@datetime", "xpath"), C.Query("h1", "css"))), ["Old mill runs again"]),
+    ("css in parent", C.Field((C.Query("a", "css", "href", ".by"),), all=True), ["https://mill.example/who/ann", "https://mill.example/who/bo"]),
+    ("xpath in parent", C.Field((C.Query(".//a", "xpath", None, "//span[@class='by']"),), all=True), ["Ann Reed", "Bo Lind"]),
+    ("fallback css to xpath", C.Field((C.Query(".missing", "css"), C.Query("//h1", "xpath"))), ["Old mill runs again"]),
+    ("fallback xpath to css", C.Field((C.Query("//nav", "xpath"), C.Query("p.lede", "css"))), ["First paragraph."]),
+    ("broken selector falls back", C.Field((C.Query("//p[", "xpath"), C.Query("p.last", "css"))), ["Third."]),
+    ("first match ends the chain though empty", C.Field((C.Query(".tags li:nth-child(3)", "css"), C.Query("h1", "css"))), []),
+    ("cleanup", C.Field((C.Query("article", "css"),), cleanup=("script", ".lede", "//p[@class='last']")), ["Secondone."]),
+    ("unreadable link stays", C.Field((C.Query("a.odd", "css", "href"),)), ["http://[bad"]),
+]
+
+
+def _values_sql(rows: list[tuple[str, int, str]]) -> str:
+    quoted = ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in row) + ")" for row in rows)
+    return f"select * from (values {quoted}) as t(case_name, pos, value)"
+
+
+@query(_values_sql([(name, k, v) for name, _, values in _CASES for k, v in enumerate(values)]))
+def selector_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of every kind of selector on one page, a row for each value."""
+    pages = spark.createDataFrame([(name, f"https://c{k}.example/a", _PAGE.replace("/who/", "https://mill.example/who/")) for k, (name, *_) in enumerate(_CASES)], "name string, url string, html string")
+    own = {f"c{k}.example": C.ParserConfig(f"c{k}.example", fields=(("title", field),)) for k, (_, field, _) in enumerate(_CASES)}
+    rows = extract(pages, "name", "url", "html", configs=own, parts=("fields", "canonical"))
+    return rows.select(F.col("name").alias("case_name"), F.posexplode("fields.title").alias("pos", "value"))
+
+
+# ---- stores, opened again between the steps
+
+
+@query("""
+    select doc_id::VARCHAR as id, case when doc_id % 2 = 0 then 'second' else 'first' end as title, length(text)::INT as chars
+    from documents where text is not null and doc_id % 7 <> 0""")
+def vector_store_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection after an upsert of all documents, one of every other again, and deletes, each by a store opened anew."""
+    base = f"{shared_dir(spark)}/pressmill-vectors-{uuid.uuid4().hex}"
+    keep(spark, base)
+    open_store = lambda: vectors.VectorStore(spark, base, 16)
+    rows = table(spark, sf_dir, "documents").where("text is not null")
+    shaped = lambda title: rows.select(F.col("doc_id").cast("string").alias("id"), "text", F.struct(F.lit(title).alias("title"), "source_url", "domain").alias("meta"), "doc_id")
+    open_store().upsert(shaped("first"))
+    open_store().upsert(shaped("second").where("doc_id % 2 = 0"))
+    open_store().remove_rows(shaped("x").where("doc_id % 7 = 0").select(F.col("id").alias("_id")))
+    return open_store().rows().select(F.col("_id").alias("id"), "title", F.char_length("text").alias("chars"))
+
+
+@query("select count(distinct url)::BIGINT as queued, count(distinct url)::BIGINT as drained, 0::BIGINT as waiting from raw_pages")
+def frontier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many URLs of the pages were queued, came out of two drains by frontiers opened anew, and still wait."""
+    base = f"{shared_dir(spark)}/pressmill-frontier-{uuid.uuid4().hex}"
+    keep(spark, base)
+    queued = frontier.Frontier(spark, base).add(table(spark, sf_dir, "raw_pages"))
+    some = frontier.Frontier(spark, base).drain(10)
+    rest = frontier.Frontier(spark, base).drain()
+    left = len(frontier.Frontier(spark, base))
+    return some.unionByName(rest).agg(F.lit(queued).cast("long").alias("queued"), F.countDistinct("url").alias("drained"), F.lit(left).cast("long").alias("waiting"))
+
+
+_ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:Z|[+-]\d{2}:\d{2})$"
+
+
+@query(rf"""
+    with v as (select 'lastmod' as field_name, item_id as rec_id, lastmod as value from sitemap_items union all
+               select 'published_time', meta_id, published_time from article_meta union all select 'date_published', meta_id, date_published from article_meta)
+    select field_name, rec_id, epoch_us(try_cast(value as timestamptz)) as utc_us from v where regexp_matches(value, '{_ISO}') and try_cast(value as timestamptz) is not null""")
+def iso_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instants of the values that are ISO 8601 with a zone."""
+    items, metas = table(spark, sf_dir, "sitemap_items"), table(spark, sf_dir, "article_meta")
+    parts = [df.select(F.lit(name).alias("field_name"), F.col(key).alias("rec_id"), F.col(name).alias("value"), "domain", F.lit(None).cast("string").alias("url")) for df, name, key in ((items, "lastmod", "item_id"), (metas, "published_time", "meta_id"), (metas, "date_published", "meta_id"))]
+    values = parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.col("value").rlike(_ISO))
+    return normalize_timestamps(values, load_sites(table(spark, sf_dir, "parser_configs"))).drop("zone_version")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -182,11 +182,12 @@ def _field(*queries: str, **more) -> Field:
 GENERIC = ParserConfig(
     domain="*",
     fields=(
-        ("title", _field("article h1", "main h1", "h1")),
-        ("authors", _field("[rel='author']", "[itemprop='author']", ".author", ".byline", all=True)),
-        ("date_published", _field("time[datetime]", "[itemprop='datePublished']", attr="datetime")),
-        ("tags", _field("a[rel='tag']", ".tags a", ".tag", all=True)),
-        ("content", _field("article", "main", "[itemprop='articleBody']", ".story", ".content", "#content", "body")),
+        ("title", _field("article h1", "main h1", "h1[itemprop='headline']", "[itemprop='headline']", ".headline h1", ".article-title", ".post-title", ".entry-title", ".story-title", ".page-title", "h1", "article h2", "main h2", "title")),
+        ("authors", _field("[rel='author']", "[itemprop='author'] [itemprop='name']", "[itemprop='author']", ".author-name", ".author a", ".author", ".byline a", ".byline", ".writer", ".contributor", ".post-author", ".entry-author", "address a", "a[href*='/author/']", all=True)),
+        ("date_published", _field("time[itemprop='datePublished']", "time[pubdate]", "article time[datetime]", "header time[datetime]", "time[datetime]", "[itemprop='datePublished'][datetime]", ".published[datetime]", ".date[datetime]", attr="datetime")),
+        ("date_modified", _field("time[itemprop='dateModified']", "time.updated[datetime]", "[itemprop='dateModified'][datetime]", ".modified[datetime]", attr="datetime")),
+        ("tags", _field("a[rel='tag']", ".tags a", ".tag-list a", "[itemprop='keywords'] a", ".tag", all=True)),
+        ("content", _field("[itemprop='articleBody']", "article .article-body", "article .body", "article", "main", ".article-body", ".article-content", ".post-content", ".entry-content", ".story-body", ".story", ".post", ".content", "#content", "#main", "body")),
     ),
     cleanup=("script", "style", "nav", "aside", "footer", "form", "iframe"),
 )
@@ -202,5 +203,8 @@ WORDPRESS = ParserConfig(
     ),
     cleanup=("script", "style", ".sharedaddy", ".related-posts", ".comments"),
 )
-#: Removed from HTML content whatever the configuration says.
-SAFETY_CLEANUP = ("script", "style", "noscript", "iframe", "form", "nav", "aside", "footer", "[class*='advert']", "[class*='share']", "[class*='newsletter']", "[class*='related']")
+#: Removed from HTML content whatever the configuration says: what runs, what asks for something, what leads elsewhere.
+SAFETY_CLEANUP = (
+    "script", "style", "noscript", "template", "iframe", "object", "embed", "form", "button", "input", "select", "textarea", "nav", "aside", "footer", "dialog",
+    "[class*='advert']", "[class*='share']", "[class*='newsletter']", "[class*='related']", "[class*='cookie']", "[role='navigation']", "[aria-hidden='true']",
+)

@@ -112,7 +112,28 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_containers(document_parts(table(spark, sf_dir, "documents"), load_counter(table(spark, sf_dir, "vocab_pieces"))))
 
 
-_QUERIES = [p2_token_budget, p2_document_tokens, p3_found, p4_found, p4_clean, p5_found, p5_languages, p6_found, p6_pieces, p7_found, p7_main_text, p8_containers, p9_found, p10_found]
+def p6_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of every item's pieces: the characters they cover without overlaps, whether each is within the limit and as
+    its bounds say, whether consecutive ones share exactly the overlap, and whether none could be saved but for boundaries."""
+    pieces = p6_pieces(spark, sf_dir)
+    size, order = F.col("end") - F.col("start"), F.sort_array(F.collect_list(F.struct("start", "end")))
+    made = pieces.groupBy("item_kind", "item_id").agg(
+        F.max("end").alias("chars"), F.bool_and((size <= 2000) & (F.char_length("piece") == size)).alias("within"), order.alias("x"), F.min("start").alias("first"), F.count(F.lit(1)).alias("n")
+    )
+    linked = F.expr("first = 0 and forall(sequence(1, size(x)), i -> i = size(x) or x[i - 1].end - x[i].start = 200)")
+    least = F.greatest(F.lit(1), F.ceil((F.col("chars") - 200) / 1800))
+    return made.select("item_kind", "item_id", "chars", "within", linked.alias("linked"), (F.col("n") <= least * 2).alias("few"))
+
+
+def p8_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of every document in containers: its tokens there, whether it is split, and whether its containers are within their length."""
+    packed = p8_containers(spark, sf_dir)
+    sums = packed.groupBy("container_id").agg(F.sum("tokens").alias("sum"), F.first("container_tokens").alias("said"), F.first("capacity").alias("capacity"))
+    good = sums.select("container_id", ((F.col("sum") == F.col("said")) & (F.col("sum") <= F.col("capacity")) & (F.col("capacity") <= 2048)).alias("good"))
+    return packed.join(good, "container_id").groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), (F.count(F.lit(1)) > 1).alias("split"), F.bool_and("good").alias("good"))
+
+
+_QUERIES = [p6_cover, p8_cover, p2_token_budget, p2_document_tokens, p3_found, p4_found, p4_clean, p5_found, p5_languages, p6_found, p6_pieces, p7_found, p7_main_text, p8_containers, p9_found, p10_found]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -149,6 +170,11 @@ def oracle_sql() -> dict[str, str]:
         "p4_clean": _LINES + """, m as (select k.*, r.key is not null as gone from k left join r using (site, key)),
             c as (select doc_id, string_agg(line, chr(10) order by line_no) filter (where not gone) as kept, count(*) filter (where gone) as removed from m group by doc_id)
             select doc_id, case when text is null then null when c.doc_id is null then text else coalesce(kept, '') end as text, coalesce(removed, 0)::INT as removed from documents left join c using (doc_id)""",
+        "p8_cover": f"select doc_id, tokens, tokens > 2048 as split, true as good from ({_TOKENS}) where tokens > 0",
+        "p6_cover": """
+            select item_kind, item_id, length(t)::INT as chars, true as within, true as linked, true as few from (
+              select 'chunk' as item_kind, chunk_id as item_id, content as t from article_chunks union all select 'document', doc_id, text from documents)
+            where length(t) > 0""",
         "p6_found": """
             select 'chunk' as item_kind, chunk_id as item_id from article_chunks where length(content) > 2000
             union all

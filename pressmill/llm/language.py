@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pressmill.llm.lettering import composed, slices, small_batches
+from pressmill.llm.models import fitted
 from pressmill.session import spread
 
 LANGS = ("en", "vi", "es", "pt", "fr", "de", "ja")
@@ -181,6 +182,11 @@ def sample_labelled(documents: DataFrame, bound: int = FIT_DOCS) -> list[tuple[s
 
 
 def fit_model(documents: DataFrame, bound: int = FIT_DOCS) -> LanguageModel:
+    """The model of a table's documents, fitted once (see ``fitted``)."""
+    return fitted("language", lambda: _fit_twice(documents, bound), documents, bound=bound, grams=MAX_GRAM, least=MIN_COUNT, floor=FLOOR)
+
+
+def _fit_twice(documents: DataFrame, bound: int) -> LanguageModel:
     """Fit on labelled documents, then once more with each line under the language the first model gives it."""
     pairs = [(line, lang) for text, lang in sample_labelled(documents, bound) for line in composed(text).split("\n") if line.strip()]
     first = LanguageModel.fit(pairs)

@@ -11,11 +11,12 @@ from pressmill.llm.history import duplicates
 from pressmill.llm.language import RUNNING_WORDS, fit_model, identify
 from pressmill.llm.leakage import leaked
 from pressmill.llm.mainbody import closing_heads, document_body, main_texts, page_body
+from pressmill.llm.models import fitted
 from pressmill.llm.packing import document_parts, fill_containers
 from pressmill.llm.readability import reading_levels
 from pressmill.llm.sitelines import find_repeated, Repeated, repeated_lines, without_lines
 from pressmill.llm.splitting import items_of, split_items
-from pressmill.llm.tokens import count_tokens, estimate_tokens, fit, load_counter, token_budget
+from pressmill.llm.tokens import count_tokens, estimate_tokens, fit, FIT_DOCS, HOLDOUT_DOCS, load_counter, token_budget
 from pressmill.sources.sites import load_sites
 from pressmill.sources.tables import table
 
@@ -88,7 +89,8 @@ def p2_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimated tokens by source, language and site."""
     documents = table(spark, sf_dir, "documents")
     model = fit_model(documents)
-    weights = fit(documents, load_counter(table(spark, sf_dir, "vocab_pieces")), model=model)
+    vocab = table(spark, sf_dir, "vocab_pieces")
+    weights = fitted("tokens", lambda: fit(documents, load_counter(vocab), model=model), documents, vocab, fit_docs=FIT_DOCS, holdout_docs=HOLDOUT_DOCS)
     return token_budget(estimate_tokens(documents, weights, model))
 
 

@@ -169,13 +169,13 @@ def _sampled(part: int, parts: int, rate: float) -> Column:
 def fit(documents: DataFrame, counter: PieceCounter, fit_docs: int = FIT_DOCS, holdout_docs: int = HOLDOUT_DOCS, model: LanguageModel | None = None) -> dict[str, np.ndarray]:
     """Coefficients by language, the intercept last; ``*`` for languages with few documents."""
     total = max(documents.count(), 1)
-    rows = []
-    for part, bound in ((0, fit_docs), (1, holdout_docs)):
-        # about ``bound`` documents by a hash of their key; tokenized where they are, only numbers come to the driver
-        some = documents.where("text is not null").where(_sampled(part, 2, min(0.5, bound / total))).select("doc_id", "text", language_key(F.col("lang")).alias("label"))
-        measured = spread(some, "doc_id").select("label", "text", *[c.cast("double").alias(k) for k, c in features(F.col("text")).items()])
-        rows.append(with_language(count_tokens(measured, counter, "label", "text", *NAMES), model, *NAMES, "tokens").toPandas())
-    return _regress(*rows)
+    # both samples, chosen by a hash of the key, come from one scan; they are tokenized where they are, and only numbers
+    # come to the driver
+    part = F.when(_sampled(0, 2, min(0.5, fit_docs / total)), 0).when(_sampled(1, 2, min(0.5, holdout_docs / total)), 1)
+    some = documents.where("text is not null").select("doc_id", "text", language_key(F.col("lang")).alias("label"), part.cast("double").alias("part")).where("part is not null")
+    measured = spread(some, "doc_id").select("label", "text", "part", *[c.cast("double").alias(k) for k, c in features(F.col("text")).items()])
+    rows = with_language(count_tokens(measured, counter, "label", "text", "part", *NAMES), model, "part", *NAMES, "tokens").toPandas()
+    return _regress(rows[rows["part"] == 0], rows[rows["part"] == 1])
 
 
 def _regress(fitted, holdout, least: int = 40, ridge: float = 1e-3) -> dict[str, np.ndarray]:

@@ -152,3 +152,24 @@ def test_projections(spark):
     assert {(s.id, s.word_count, s.chunks) for s in articles.summaries(df).collect()} == {("i1", 3, 1), ("i2", 0, 0)}
     assert "updated_at" in articles.touch(df).columns
     assert spark.createDataFrame([(["a"],), ([],)], "x array<string>").select(first(F.col("x"))).collect()[1][0] is None
+
+
+def test_no_page_stops_a_job(spark):
+    from pressmill.operators import extract as X
+
+    pages = [
+        (1, "https://a.example/x", "<html><head><link rel='canonical' href='http://[bad'><link type='application/rss+xml' href='http://[worse'></head><body><h1>T</h1><a href='http://[bad'>x</a><p>Text</p></body></html>"),
+        (2, "https://a.example/x", "<html><body><article>" + "<div>" * 3000 + "deep text" + "</div>" * 3000 + "</article></body></html>"),
+        (3, "http://[", "<p>x</p>"),
+        (4, None, "<ul>" * 800 + "<li>y"),
+    ]
+    rows = {r.page_id: r for r in X.extract(spark.createDataFrame(pages, "page_id long, url string, raw_html string")).collect()}
+    assert len(rows) == 4 and rows[1].status == "ok" and rows[1].canonical == "http://[bad" and rows[1].feeds == ["http://[worse"]
+    assert rows[2].status == "ok" and "deep text" in rows[2].fields.content[0]
+
+
+def test_a_failing_page_is_a_row(spark, monkeypatch):
+    from pressmill.html.dom import parse
+    from pressmill.html.markdown import to_markdown
+
+    assert to_markdown(parse("<div>" * 2000 + "<b>x</b> y" + "</div>" * 2000)) == "x y"

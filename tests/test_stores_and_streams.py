@@ -163,3 +163,36 @@ def test_sql_functions(spark):
     assert tuple(r) == (3, 4, "3a7f5f88-e1fe-5f14-9710-c340efb03bfc", "9dd4e461268c8034f5c8564e155c67a6", "## T")
     assert [x.content for x in spark.sql("select * from chunk_by_char('abcdefghij', 4, 1)").collect()] == ["abcd", "defg", "ghij", "j"]
     assert spark.sql("select * from chunk_by_tokens('One two. Three four. Five six.', 3, 0)").count() == 3
+
+
+def test_stores_are_opened_again(spark, tmp_path):
+    rows = lambda *ids: spark.createDataFrame([(i, f"text {i}", ("t", "u", "d")) for i in ids], "id string, text string, meta struct<title:string,source_url:string,domain:string>")
+    store = lambda: V.VectorStore(spark, str(tmp_path / "v"), 16)
+    assert store().count() == 0
+    store().upsert(rows("a", "b"))
+    store().upsert(rows("b", "c"))
+    assert store().delete(["a", "z"]) == 1 and store().count() == 2 and store().get("b").count() == 1
+    store().compact()
+    assert store().count() == 2 and len(store()._parts) == 1
+    store().upsert(rows("a"))
+    assert sorted(r._id for r in store().rows().collect()) == ["a", "b", "c"]
+    store().clear()
+    assert store().count() == 0
+
+
+def test_a_frontier_goes_on_where_the_last_one_was(spark, tmp_path):
+    opened = lambda: frontier.Frontier(spark, str(tmp_path / "f"))
+    urls = spark.createDataFrame([(f"u{i}",) for i in range(6)], "url string")
+    assert opened().add(urls) == 6
+    one = [r.url for r in opened().drain(2).collect()]
+    two = [r.url for r in opened().drain().collect()]
+    assert len(one) == 2 and sorted(one + two) == [f"u{i}" for i in range(6)] and len(opened()) == 0
+    # an add that was cut off between its two writes: its keys are marked when the frontier is opened
+    spark.createDataFrame([(100, "late", "k")], "seq long, url string, url_key string").write.mode("append").parquet(str(tmp_path / "f" / "queue"))
+    assert opened().seen().where("url_key = 'k'").count() == 1
+
+
+def test_a_site_is_scheduled_by_each_of_its_modes(spark):
+    rows = [("both", ["s"], ["r"]), ("map", ["s"], None), ("feed", [], ["r"]), ("none", None, [])]
+    got = C.schedule(spark.createDataFrame(rows, "domain string, sitemaps array<string>, rss_feeds array<string>")).collect()
+    assert sorted((r.domain, r.mode, r.period_minutes) for r in got) == [("both", "rss", 15), ("both", "sitemap", 360), ("feed", "rss", 15), ("map", "sitemap", 360), ("none", "links", 30)]

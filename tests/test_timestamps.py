@@ -99,3 +99,18 @@ def test_table(spark):
     new_year = us(2023, 1, 1)
     assert got == sorted([("lastmod", 1, us(2023, 3, 4, 10, zone=NY)), ("lastmod", 2, us(2023, 4, 3, 10, zone=BERLIN)), ("lastmod", 5, new_year), ("lastmod", 5, new_year), (None, None, new_year)], key=str)
     assert normalize_timestamps(df.limit(0), sites).count() == 0
+
+
+def test_zone_tables_reach_before_1970_and_after_2100():
+    from datetime import datetime, timezone
+    from zoneinfo import ZoneInfo
+
+    from pressmill.operators.timestamps import convert, zone_table, zone_version
+
+    tables = {"America/New_York": zone_table("America/New_York")}
+    values = ["1965-06-01T00:00:00", "2110-07-01T00:00:00", "1850-01-01T00:00:00", "2300-01-01T00:00:00", " " * 300 + "2020-01-01T00:00:00Z"]
+    us, ok = convert(values, ["America/New_York"] * 5, [False] * 5, tables)
+    assert ok.tolist() == [True, True, False, False, True]
+    for k in (0, 1):
+        assert us[k] == int(datetime.fromisoformat(values[k]).replace(tzinfo=ZoneInfo("America/New_York")).astimezone(timezone.utc).timestamp()) * 1_000_000
+    assert tables["America/New_York"].version == zone_version()

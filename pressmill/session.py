@@ -90,10 +90,27 @@ def files_of(spark: SparkSession, path: str, done: bool = False) -> list[str]:
         uri = listed.next().getPath().toUri().toString()
         name = uri.rpartition("/")[2]
         if (name == "_SUCCESS") if done else not name.startswith(("_", ".")):
-            out.append(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+            out.append(_plain_uri(uri))
     return sorted(out)
 
 
+def make_folder(spark: SparkSession, path: str) -> str:
+    """Make a folder of the shared one that tasks write into; its URI."""
+    at, system = _file_system(spark, path)
+    system.mkdirs(at)
+    return _plain_uri(system.makeQualified(at).toUri().toString())
+
+
+def mark_done(spark: SparkSession, path: str) -> None:
+    """Mark a folder that tasks have written into as complete."""
+    at, system = _file_system(spark, f"{path}/_SUCCESS")
+    system.create(at, True).close()
+
+
+def _plain_uri(uri: str) -> str:
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def release(df: DataFrame) -> None:
     """Remove the files of a table that ``materialize`` wrote. What still reads it must have run before."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -87,3 +89,45 @@ def bulk_urls(sitemaps: DataFrame, feeds: DataFrame) -> DataFrame:
     """URLs of sitemap and feed files (url, content), each once."""
     found = discovery.parse_sitemaps(sitemaps).select(F.col("loc").alias("url")).unionByName(discovery.parse_feeds(feeds).select(F.col("link").alias("url")))
     return found.select(strip(F.col("url")).alias("url")).where("url <> ''").distinct()
+
+
+def worker_rows(assembled: DataFrame, content_format: str = "markdown") -> DataFrame:
+    """What a worker hands on of each article: id, title, content and its format, provenance, metadata and stats.
+
+    ``raw_html`` comes along where the articles were assembled with ``keep_html``, else it is null.
+    """
+    a = F.col("article")
+    html = F.col("raw_html") if "raw_html" in assembled.columns else F.lit(None).cast("string")
+    stats = F.struct(a["metadata"]["word_count"].alias("word_count"), a["metadata"]["reading_time_minutes"].alias("reading_time_minutes"))
+    return assembled.where("status = 'ok'").select(
+        a["id"].alias("id"), a["title"].alias("title"), a["content"].alias("content"), html.alias("raw_html"), F.lit(content_format).alias("content_format"), a["provenance"].alias("provenance"), a["metadata"].alias("metadata"), stats.alias("stats")
+    )
+
+
+def task_status(store: ResultStore, task_id: str) -> dict:
+    """Whether a task is done or unknown, with its statistics and without its articles."""
+    stats = store.stats(task_id)
+    row = None if stats is None else stats.first()
+    return {"task_id": task_id, "status": "unknown" if row is None else "done", "result": None if row is None else row.asDict(recursive=True)}
+
+
+def handle(request: dict, read: Callable[[str], DataFrame], load: Callable[[DataFrame], DataFrame], store: ResultStore, secret: str | None = None, given: str | None = None) -> dict:
+    """A request ``{"url", "mode": single_page, sitemap or rss, "output_format"}`` as a plain call.
+
+    ``read`` gives a file (url, content) and ``load`` the pages (page_id, url, raw_html) of URLs. A single page is answered at
+    once; the pages of a sitemap or feed become a task, whose id is answered. A wrong secret is refused with 403.
+    """
+    if secret and given != secret:
+        return {"code": 403}
+    url, mode, form = request.get("url"), request.get("mode", "single_page"), request.get("output_format", "markdown")
+    if not url or mode not in ("single_page", "sitemap", "rss") or form not in ("markdown", "html"):
+        return {"code": 422}
+    spark = store.spark
+    if mode == "single_page":
+        row = single_page(load(spark.createDataFrame([(url,)], "url string")), output_format=form).first()
+        return {"code": 200, "article": row.asDict(recursive=True)} if row else {"code": 404}
+    file = read(url)
+    urls = bulk_urls(file, file.limit(0)) if mode == "sitemap" else bulk_urls(file.limit(0), file)
+    task_id = uuid.uuid4().hex
+    scrape_for_user(task_id, load(urls), store)
+    return {"code": 202, "task_id": task_id}

@@ -78,3 +78,22 @@ def test_helpers_and_records(spark):
     assert back.first().a.title == "T" and not back.select(schemas.valid_article(F.col("a"))).first()[0]
     full = spark.createDataFrame([('{"title":"T","content":"c","provenance":{"source_url":"u"},"quality":{"content_quality":2}}',), ('{"title":"T","content":"c","provenance":{"source_url":"u"}}',)], "j string")
     assert [r[0] for r in full.select(schemas.valid_article(schemas.from_json(F.col("j")))).collect()] == [False, True]
+
+
+def test_requests(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "r"))
+    load = lambda urls: pages(spark).join(urls, "url", "left_semi")
+    read = lambda url: spark.createDataFrame([(url, bytearray(b"<urlset><url><loc>https://n.example/a</loc></url><url><loc>https://n.example/d</loc></url></urlset>"))], "url string, content binary")
+    ask = lambda **r: pipelines.handle(r, read, load, store, "s", "s")
+    assert pipelines.handle({"url": "u"}, read, load, store, "s", "x") == {"code": 403}
+    assert ask(url="u", mode="odd") == {"code": 422} and ask(url="https://n.example/none") == {"code": 404}
+    assert ask(url="https://n.example/a")["article"]["source_url"] == "https://n.example/a"
+    made = ask(url="https://n.example/s.xml", mode="sitemap")
+    status = pipelines.task_status(store, made["task_id"])
+    assert made["code"] == 202 and status["status"] == "done" and status["result"]["total_urls"] == 2
+    assert pipelines.task_status(store, "none")["status"] == "unknown"
+    assert ask(url="https://n.example/s.xml", mode="rss")["code"] == 202
+    from pressmill.operators.articles import assemble
+
+    row = pipelines.worker_rows(assemble(pages(spark), keep_html=False)).first()
+    assert row.content_format == "markdown" and row.stats.word_count == row.metadata.word_count and row.raw_html is None
